@@ -14,7 +14,7 @@ from prismark.llm.common import add_columns, as_bytes, field, table
 RULES: dict[str, tuple[int, str]] = {
     "too_few_words": (0, "n_words < 10"),
     "repeated_windows": (1, "100 * n_repeat_words > 20 * n_words"),
-    "symbol_heavy": (2, "10 * n_symbols > 4 * n_words"),
+    "symbol_heavy": (2, "4 * n_symbols > n_words"),
     "too_many_words": (3, "n_words > 1000000"),
     "short_words": (4, "word_chars < 2 * n_words"),
     "long_words": (5, "word_chars > 20 * n_words"),
