@@ -154,11 +154,17 @@ def disclosures(texts: DataFrame, n_docs: int, docs_terms, held: DataFrame, rule
     seen = pairs.groupBy("entity", "term", "key", "n").agg(F.collect_set("context").alias("c"))
     strong = seen.select("entity", "term", "n", F.explode("c").alias("context")).groupBy("entity", "term", "context").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= rule.min_contexts)
     counts = seen.groupBy("entity", "term").agg(F.sum("n").alias("co"))
-    asked = cut(strong.join(counts, ["entity", "term"]), "asked")
     df_e = held.select("key", "n", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).groupBy("entity").agg(F.sum("n").alias("df_e"))
+
+    def strength(df_t: str) -> Column:
+        return F.round(1 + F.log2(F.col("co") / F.col(df_t)) / F.greatest(F.log2(F.lit(float(max(2, n_docs))) / F.col("df_e")), F.lit(1e-9)), 9)
+
+    # the texts at hand alone bound df(t) from below, hence strength from above: common words need not be counted in all others
+    here = words.select("key", "term").distinct().join(held.select("key", "n"), "key").groupBy("term").agg(F.sum("n").alias("df_here"))
+    open_pairs = strong.join(counts, ["entity", "term"]).join(df_e, "entity").join(here, "term")
+    asked = cut(open_pairs.where(strength("df_here") >= rule.generalise).select("entity", "term", "co", "df_e"), "asked")
     df_t = docs_terms(asked.select("term").distinct())
-    strength = 1 + F.log2(F.col("co") / F.col("df_t")) / F.greatest(F.log2(F.lit(float(max(2, n_docs))) / F.col("df_e")), F.lit(1e-9))
-    told = asked.join(df_t, "term").join(df_e, "entity").withColumn("strength", F.round(strength, 9)).where(F.col("strength") >= rule.generalise)
+    told = asked.join(df_t, "term").withColumn("strength", strength("df_t")).where(F.col("strength") >= rule.generalise)
     action = F.when(F.col("strength") >= rule.remove, F.lit("remove")).otherwise(F.lit("generalise"))
     told = cut(told.select("entity", "term", "strength", action.alias("action")), "told")
     in_text = held.select("key", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).join(told, "entity").groupBy("key", "term").agg(F.max("action").alias("action"))  # remove sorts after generalise
