@@ -82,10 +82,8 @@ def _block(cosine: float, hasher: Hasher):
         def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             t, i, j = (batch.column(c)[0].as_py() for c in (0, 2, 3))
             side, ids, mult = (batch.column(c).to_numpy() for c in (4, 5, 6))
+            t %= hasher.tables
             raw = batch.column(7).to_pylist()
-            lens = np.array([len(x) for x in raw])
-            if lens.min() != lens.max():
-                return None  # keys of vectors of different length collide by chance only
             unit = _units(np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1))
             match = unit @ unit.T >= cosine
             np.fill_diagonal(match, False)
@@ -146,7 +144,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding
         return run
 
     keyed = add_columns(reps, ["raw"], [T.StructField("keys", T.ArrayType(T.LongType()), True)], keyer)
-    spread = keyed.select("id", "mult", "raw", F.posexplode("keys").alias("t", "key"))
+    # a table for each length of vectors, so that a block's vectors are of one length
+    each_key = keyed.select("id", "mult", "raw", F.posexplode("keys").alias("t", "key"))
+    spread = each_key.withColumn("t", F.octet_length("raw").cast("long") * tables + F.col("t"))
     dealt = deal_blocks(spread, block).select("t", "key", "i", "j", "chunk", "id", "mult", "raw")
     found = cut(map_runs(dealt, ["t", "key", "i", "j"], _block(cosine, hasher), T.StructType([field("node", "long"), field("links", "long"), field("root", "long")])), "links")
     linked = found.groupBy("node").agg(F.sum("links").alias("links")).join(components(found, "node", "root"), "node", "left")
