@@ -40,6 +40,7 @@ def _near() -> dict[str, set[str]]:
 
 
 NEAR = _near()
+PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
 
 
 @cache
@@ -82,6 +83,7 @@ def segments(value: str, words: dict[str, int]) -> tuple[float, list[tuple[int,
             if m:
                 dates[m.end()] = min(dates.get(m.end(), i), i)
     same = walk = line = 0  # where the run of the character, the walk and the sequence up to here start
+    way, turns = None, 0  # the walk's last direction, and how often it changed
 
     def offer(i: int, j: int, cost: float, kind: str) -> None:
         total = best[j] + cost + (math.log10(2) if kind != "brute" else 0.0)
@@ -95,15 +97,18 @@ def segments(value: str, words: dict[str, int]) -> tuple[float, list[tuple[int,
             if c != p:
                 same = i - 1
             if c not in NEAR.get(p, ()):
-                walk = i - 1
+                walk, way, turns = i - 1, None, 0
+            else:
+                step = (PLACE[c][0] - PLACE[p][0], PLACE[c][1] - PLACE[p][1])
+                turns += way is not None and way != step
+                way = step
             if not (c.isalnum() and ord(c) - ord(p) in (1, -1) and (i < 3 or line == i - 2 or ord(c) - ord(p) == ord(p) - ord(low[i - 3]))):
                 line = i - 2 if c.isalnum() and ord(c) - ord(p) in (1, -1) else i - 1
         offer(i, i - 1, math.log10(_alphabet(value[i - 1])) + (0.3 if value[i - 1].isupper() else 0.0), "brute")
         if i - same >= 3:
             offer(i, same, math.log10(_alphabet(c) * (i - same)), "repeat")
         if i - walk >= 4:
-            turns = sum(1 for k in range(walk + 2, min(i, walk + 64)) if ord(low[k]) - ord(low[k - 1]) != ord(low[k - 1]) - ord(low[k - 2]))
-            offer(i, walk, math.log10(36 * (i - walk)) + min(turns, 8) * math.log10(4), "walk")
+            offer(i, walk, math.log10(36 * (i - walk)) + turns * math.log10(4), "walk")
         if i - line >= 3:
             offer(i, line, math.log10(2 * _alphabet(c) * (i - line)), "sequence")
         if i in dates:
