@@ -7,12 +7,14 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismark.llm.common import add_columns, as_texts, field, small_batches, table
+from prismark.llm.common import add_columns, as_texts, cut, field, small_batches, table
 
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’‚‹›¡¿…–—"
 QUOTES = "\"«»“”„‹›"
@@ -35,11 +37,14 @@ class Fit:
 
 @dataclass
 class Lexicon:
-    """terms: word, or stem with a trailing *. weights: (term, edits) -> log odds; bias: of a text without any term."""
+    """terms: word, or stem with a trailing *. weights: (term, edits) -> log odds that a text with it gains.
+
+    prior: log odds of any text; bias: of a text without any term."""
 
     terms: list[str]
     weights: dict[tuple[str, int], float]
     bias: float
+    prior: float = 0.0
 
 
 def tokens(text: str) -> list[str]:
@@ -177,7 +182,10 @@ class Scorer:
         return out
 
     def score(self, text: str) -> float:
-        evidence = self.lexicon.bias + sum(self.lexicon.weights.get(k, 0.0) * f for k, f in self.found(text).items())
+        """From the log odds of a text without terms to those of one with them, as far as the terms are not quoted."""
+        found = self.found(text)
+        lex, far = self.lexicon, max(found.values(), default=0.0)
+        evidence = (1 - far) * lex.bias + far * lex.prior + sum(lex.weights.get(k, 0.0) * f for k, f in found.items())
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, evidence))))
 
 
@@ -186,7 +194,23 @@ def sample(docs: DataFrame, labels: DataFrame, fit: Fit, id_col: str, text: str,
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).where(~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label).alias("__label"))
     pick = lambda value, n: known.where(F.col("__label") == value).orderBy(F.xxhash64(id_col), id_col).limit(n)
     chosen = pick(1, fit.toxic_docs).unionByName(pick(0, fit.clean_docs))
-    return docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col).select("text", F.col("__label").cast("long").alias("label"))
+    rows = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col).select("text", F.col("__label").cast("long").alias("label"))
+    # copies and near copies are one witness: one row is kept for each value of each signature (a bounded sample, so a small shuffle)
+    rows = add_columns(rows, ["text"], [field(f"m{k}", "long") for k in range(len(MIXES))], lambda: lambda texts: list(zip(*[signatures(t) for t in as_texts(texts)], strict=True)))
+    for k in range(len(MIXES)):
+        rows = rows.dropDuplicates(["label", f"m{k}"])
+    return cut(rows.select("text", "label"), "sample")
+
+
+#: Odd multipliers, one for each signature.
+MIXES = tuple((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for k in range(3))
+
+
+def signatures(text: str) -> list[int]:
+    """The least hash of a text's runs of four words, under each of MIXES: near copies share most of them."""
+    words = tokens(text)
+    h = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3))], dtype=np.uint64)
+    return [int((h * np.uint64(m)).min() >> np.uint64(1)) for m in MIXES]
 
 
 def held_out(id_col):
@@ -218,12 +242,14 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
     """A lexicon from a bounded sample of labelled rows (Fit). Scores never see labels, ids or other columns.
 
     Terms are words and word stems whose share of toxic texts can't be chance over all terms tried. Weights are
-    log odds; a misspelling starts from a little evidence for abuse, which clean texts that hold it soon outweigh.
+    log odds; a misspelling starts from a little evidence for abuse, which clean texts that hold it, or words that begin
+    alike, soon outweigh.
     Without labels, or with labels of one kind only, the lexicon is empty and scores are the share of toxic
     labels (0 if there are none). Null labels, ids and texts, and labels of no document, are ignored.
     """
     rows = sample(docs, labels, fit, id_col, text, label)
     counted = rows.mapInArrow(_terms(fit.stems), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = cut(counted.where((F.col("term") == "") | (F.col("toxic") + F.col("clean") >= fit.min_docs)), "terms")
     # of a bounded sample: as many rows as toxic texts have common terms
     got = counted.where((F.col("term") == "") | ((F.col("toxic") >= fit.min_docs) & (F.col("toxic") >= fit.min_precision * (F.col("toxic") + F.col("clean"))))).collect()
     totals = next(((r["toxic"], r["clean"]) for r in got if r["term"] == ""), (0, 0))
@@ -231,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
     if not nt or not nc:
         return Lexicon([], {}, -40.0 if not nt else 40.0)
     prior = nt / (nt + nc)
-    tried = max(1, counted.where(f"toxic + clean >= {fit.min_docs}").count())
+    tried = max(1, counted.count())
 
     def gain(t: int, c: int) -> float:
         p = t / (t + c)
@@ -257,10 +283,14 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
         counts[term] = (t, c)
         if len(kept) >= fit.most_terms:
             break
-    return _weighed(rows, kept, nt, nc)
+    begins = {t: t[: 4 if len(t) < 8 else 6] + "*" for t in kept if not t.endswith("*")}
+    asked = rows.sparkSession.createDataFrame([(b,) for b in sorted(set(begins.values()))], "term string")
+    clean = {r["term"]: r["clean"] for r in counted.join(F.broadcast(asked), "term").collect()}
+    return _weighed(rows, kept, nt, nc, {t: clean.get(b, 0) - counts[t][1] for t, b in begins.items()})
 
 
-def _weighed(rows: DataFrame, terms: list[str], nt: int, nc: int) -> Lexicon:
+def _weighed(rows: DataFrame, terms: list[str], nt: int, nc: int, alike: dict[str, int]) -> Lexicon:
+    """alike: in how many clean texts a word begins like the term; where such words are usual, a near match is no misspelling."""
     plain = Lexicon(terms, {}, 0.0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,14 +309,16 @@ def _weighed(rows: DataFrame, terms: list[str], nt: int, nc: int) -> Lexicon:
     got = rows.mapInArrow(count, "term string, edits long, label long, n long").groupBy("term", "edits", "label").agg(F.sum("n").alias("n")).collect()
     n = {(r["term"], r["edits"], r["label"]): r["n"] for r in got}
     of = lambda term, edits, label: n.get((term, edits, label), 0)
+    prior = math.log(nt / nc)
     weights = {}
     for term in terms:
         for edits in (0, 1):
             t, c = of(term, edits, 1), of(term, edits, 0)
-            start = (0.5, 0.05) if edits == 0 else (1.0, 0.1)
-            weights[term, edits] = math.log((t + start[0]) / nt) - math.log((c + start[1]) / nc)
+            start = (0.5, 0.05) if edits == 0 else (1.0, 0.1 + alike.get(term, 0))
+            gained = math.log((t + start[0]) / nt) - math.log((c + start[1]) / nc)
+            weights[term, edits] = gained if gained + prior > 0 else 0.0  # what alone would not tell abuse tells nothing
     bias = math.log((of("", 0, 1) + 0.5) / (of("", 0, 0) + 0.5))
-    return Lexicon(terms, weights, bias)
+    return Lexicon(terms, weights, bias, prior)
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
