@@ -21,6 +21,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_rule_ledger": rules.OP1_SQL,
     "op2_p_stable_vectors": vectors.OP2_SQL,
+    "op4_byte_balanced_shards": sharding.OP4_SQL,
     "op10_reply_trees": chat.OP10_SQL,
     "rule_ablations": rules.ABLATION_SQL,
 }

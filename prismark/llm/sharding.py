@@ -55,3 +55,15 @@ def op4_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     put = assign_shards(docs, ["doc_id", "text_crc32", "size"], "size", 24)
     return put.select("doc_id", F.col("size").cast("long"), F.col("text_crc32").cast("long"), F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The CRC is taken byte by byte: each byte is put in, then eight bits are shifted out.
+OP4_SQL = """
+with d as (select row_number() over () as rid, doc_id, octet_length(encode(coalesce(text, ''))) as n, hex(encode(coalesce(text, ''))) as h from documents),
+c as (
+  select doc_id, (n + 8)::bigint as size, xor(list_reduce([4294967295::ubigint] || flatten(list_transform(range(1, n + 1), lambda i: [('0x' || substr(h, 2 * i - 1, 2))::ubigint, 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384::ubigint * (xor(a, b) & 1))), 4294967295::ubigint)::bigint as text_crc32
+  from d),
+s as (select *, sum(size) over (order by doc_id nulls first, text_crc32, size rows unbounded preceding) - size as start, sum(size) over () as total from c),
+p as (select *, least((24 * (2 * start + size)) // greatest(2 * total, 1), 23)::int as shard from s)
+select doc_id, size, text_crc32, 'bytes' as law, shard, (row_number() over (partition by shard order by doc_id nulls first, text_crc32, size) - 1)::bigint as slot, null::int as grown_shard from p"""
