@@ -167,7 +167,8 @@ def _linker(radius: int):
 def deal_blocks(rows: DataFrame, block: int) -> DataFrame:
     """rows(t, key, id, ...) with i, j and chunk: keys with over `block` rows are cut into chunks by a hash of id, and every
     pair of chunks (i <= j) meets in a group of its own; other keys are one group. No group exceeds about twice the block."""
-    counts = rows.groupBy("t", "key").agg(F.count("*").alias("__n")).where(F.col("__n") > block)
+    # written first: the planner then knows its size, and sends it to the rows if it is small, which spares them a shuffle
+    counts = cut(rows.groupBy("t", "key").agg(F.count("*").alias("__n")).where(F.col("__n") > block), "hot")
     chunks = F.coalesce(F.ceil(F.col("__n") / block), F.lit(1)).cast("int")
     at = rows.join(counts, ["t", "key"], "left").withColumn("__chunks", chunks).withColumn("chunk", F.expr("cast(pmod(xxhash64(id), __chunks) as int)"))
     with_each = at.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
