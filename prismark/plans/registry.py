@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from prismark.config import SMALL_FRAMES as CFG
 from prismark.config import Config, ScoreRule
 from prismark.functions import robust, vectors
-from prismark.operators import evaluate, filters, neighbors, plotdata, quality, reduce, select
+from prismark.operators import evaluate, explore, filters, neighbors, plotdata, quality, reduce, select
 from prismark.sources.tables import written
 from prismark.plans.frames import PX_SQL, SIDE, ST_SQL, frames, pool, with_descriptor, with_shapes, with_stats
 
@@ -586,6 +586,35 @@ def kmeans_labels(spark, sf):
     return KMeans(k=5, seed=0, featuresCol="features", predictionCol="cluster").fit(rows).transform(rows).select("object_id", "pos", "cluster")
 
 
+@query("explore_kmeans_xnn")
+def explore_kmeans_xnn(spark, sf):
+    return explore.clusters(pool(spark, sf), 5)
+
+
+@query("explorer_text")
+def explorer_text(spark, sf):
+    p = pool(spark, sf)
+    return explore.clusters_text(explore.clusters(p, 3, "farthest"), p)
+
+
+@query("prefilter_report")
+def prefilter_report(spark, sf):
+    return explore.prefilter_text(_chained(spark, sf), ["laplacian", "tenengrad", "artifact_fraction"])
+
+
+@query("bad_examples")
+def bad_examples(spark, sf):
+    bad = _chained(spark, sf).where("rejection_reason is not null").select("object_id", "pos", "laplacian")
+    return explore.worst_examples(frames(spark, sf).join(bad, ["object_id", "pos"]), -F.col("laplacian"), 4, SIDE, SIDE)
+
+
+@query("embed_mean_pool")
+def embed_mean_pool(spark, sf):
+    from prismark.operators.embed import MeanPool, embed
+
+    return embed(frames(spark, sf), MeanPool, SIDE, SIDE)
+
+
 # --- the whole curation ----------------------------------------------------------------------------------------------
 
 _CUR = GQD("min", f"{ACC_SQL}, p as materialized (select object_id, pos, e, quality as q from pl)")

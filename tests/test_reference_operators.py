@@ -182,6 +182,48 @@ def test_stream_judges_like_batch(spark, sf, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(batch)
 
 
+def png(path, pixels_):
+    """A PNG file of (h, w) grey or (h, w, 3) RGB bytes."""
+    import struct
+    import zlib
+
+    path.parent.mkdir(parents=True, exist_ok=True)
+    h, w = pixels_.shape[:2]
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + row.tobytes() for row in pixels_.astype(np.uint8))
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if pixels_.ndim == 3 else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def test_scan_and_decode(spark, tmp_path):
+    from prismark.sources import images
+
+    color = np.zeros((4, 6, 3))
+    color[..., 0] = 200  # red
+    for obj, stems in (("cup", ("2", "10", "3")), ("pen", ("1",))):
+        for s in stems:
+            png(tmp_path / obj / "images" / f"{s}.png", color)
+            if (obj, s) != ("cup", "3"):
+                png(tmp_path / obj / "masks" / f"{s}.png", np.full((4, 6), 255))
+    png(tmp_path / "cup" / "hand_masks" / "2.png", np.zeros((4, 6)))
+    rows = {(r.object_id, r.id): (r.pos, r.hand_path is not None) for r in images.scan(spark, str(tmp_path)).collect()}
+    assert rows == {("cup", 10): (0, False), ("cup", 2): (1, True), ("pen", 1): (0, False)}
+    r = images.decode(spark, str(tmp_path / "pen" / "images")).first()
+    assert (r.object_id, r.stem, r.height, r.width, r.channels) == ("pen", "1", 4, 6, 3) and tuple(r.data[:3]) == (0, 0, 200)
+    assert images.exists(spark, str(tmp_path)) and not images.exists(spark, str(tmp_path / "none"))
+
+
+def test_run_is_written_and_read(spark, sf, tmp_path):
+    from prismark.operators import evaluate
+    from prismark.sources import images
+
+    scored, kept, picks = registry._picks(spark, sf)
+    out = str(tmp_path / "run")
+    images.write_run(out, scored.where("rejection_reason is null"), scored.where("rejection_reason is not null"), kept, picks, evaluate.run_report(scored, kept, picks))
+    pool, again = images.load_snapshot(spark, out)
+    assert pool.count() == kept.count() and sorted(map(tuple, again.collect())) == sorted(map(tuple, picks.collect()))
+    assert spark.read.option("header", True).csv(f"{out}/rejected_metrics.csv").count() == scored.where("rejection_reason is not null").count()
+
+
 def plain(rows, names):
     return sorted(repr([None if v is None else round(float(v), 5) + 0.0 if isinstance(v, float) else v for v in (r[names.index(c)] for c in sorted(names))]) for r in rows)
 
