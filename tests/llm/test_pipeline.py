@@ -67,3 +67,30 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, an extra column that clashes, and no rows at all."""
+    import test_operators as plain
+
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, failure_bits string"
+    rows = [(i, t, None if k % 2 else "en", None, None if k % 3 else len(t or ""), "x", None) for k, (i, t) in enumerate(plain.ODD)]
+    spark.createDataFrame([(1, 1, 0), (None, None, 1), (8, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for given in (rows, []):
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, spark.createDataFrame(given, schema), str(tmp_path))
+            got = made.collect()
+            if name == "packing":
+                assert {r.doc_id for r in got} == {r[0] for r in given}
+                continue
+            assert made.columns == list(corpus_pipeline.DOCUMENT)
+            if name == "toxicity":
+                assert {r.doc_id for r in got} <= {r[0] for r in given}
+            if name == "quality":
+                assert all(len((r.text or "").split()) >= 10 for r in got)
+            if name == "simhash" and given:
+                assert Counter(r.doc_id for r in got) == Counter([None, 1, 4, 5, 8, 9, 10, 11])
+            if name == "pii":
+                assert Counter((r.doc_id, r.text) for r in got) == Counter(r[:2] for r in given)
+
