@@ -32,8 +32,11 @@ def goodness(value: Column, by: list[str], lower_is_better: bool = False) -> Col
 
 
 def round_range(low: Column, high: Column) -> tuple[Column, Column]:
-    """Both ends rounded outward to two digits."""
-    return F.floor(low * 100) / 100, F.ceil(high * 100) / 100
+    """Both ends rounded outward to two digits; ends that meet are moved apart by a hundredth first."""
+    out = lambda shift: (F.floor((low - shift) * 100) / 100, F.ceil((high + shift) * 100) / 100)
+    a, b = out(0.0)
+    wide = out(0.01)
+    return F.when(b > a, a).otherwise(wide[0]), F.when(b > a, b).otherwise(wide[1])
 
 
 def sequence(accepted: DataFrame, rejected: DataFrame, by: list[str]) -> DataFrame:

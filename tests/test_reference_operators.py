@@ -182,16 +182,24 @@ def test_stream_judges_like_batch(spark, sf, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(batch)
 
 
-def png(path, pixels_):
-    """A PNG file of (h, w) grey or (h, w, 3) RGB bytes."""
-    import struct
-    import zlib
+def png(path, image):
+    from prismark.functions.overlays import png as encode
 
     path.parent.mkdir(parents=True, exist_ok=True)
-    h, w = pixels_.shape[:2]
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    raw = b"".join(b"\0" + row.tobytes() for row in pixels_.astype(np.uint8))
-    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if pixels_.ndim == 3 else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    path.write_bytes(encode(np.asarray(image)))
+
+
+def test_overlays():
+    from prismark.functions import overlays
+
+    image, mask = np.full((20, 20, 3), 100, np.uint8), np.zeros((20, 20))
+    mask[5:15, 5:15] = 1
+    out = overlays.composite(image, mask)
+    assert tuple(out[10, 10]) == (25, 216, 25) and tuple(out[0, 0]) == (66, 66, 66)
+    assert tuple(overlays.blend(image, mask)[10, 10]) == (50, 177, 50)
+    assert tuple(overlays.feature(image, mask, "edge_ratio")[0, 10]) == overlays.FRAME
+    assert tuple(overlays.feature(image, mask, "laplacian")[0, 0]) == (50, 50, 50)
+    assert [overlays.tick(v) for v in (None, 0, 0.5, 1e-5, 12.0)] == ["", "0", "0.5", "0.00001", "12"]
 
 
 def test_scan_and_decode(spark, tmp_path):
