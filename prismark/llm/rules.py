@@ -105,17 +105,17 @@ def ablations(counted: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> Da
 
     No text is read again. Rules of a policy that no document fails have zeros; an empty ledger gives zeros.
     """
-    spark = counted.sparkSession
     rows = [(p.version, r, p.mask, 1 << RULES[r][0]) for p in policies for r in p.rules]
-    asked = spark.createDataFrame(rows, "policy string, rule string, mask long, bit long")
-    bits = F.coalesce(F.col("failure_bits"), F.lit(0))
-    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n_docs"))), F.lit(0)).cast("long")
-    masked = bits.bitwiseAND(F.col("mask"))
-    return (
-        asked.join(F.broadcast(counted), F.lit(True), "left")  # both sides bounded by the number of rules
-        .groupBy("policy", "rule")
-        .agg(total(masked != 0).alias("rejected"), total(bits.bitwiseAND(F.col("bit")) != 0).alias("failed"), total(masked == F.col("bit")).alias("only_this"), total(masked.bitwiseAND(F.bitwise_not(F.col("bit"))) == 0).alias("kept_without"))
-    )
+    one = lambda p, r, m, b: F.struct(F.lit(p).alias("policy"), F.lit(r).alias("rule"), F.lit(m).cast("long").alias("mask"), F.lit(b).cast("long").alias("bit"))
+    each = counted.select("failure_bits", "n_docs", F.explode(F.array(*[one(*x) for x in rows])).alias("x")).select("failure_bits", "n_docs", "x.*")
+    masked = F.col("failure_bits").bitwiseAND(F.col("mask"))
+    total = lambda cond: F.sum(F.when(cond, F.col("n_docs")).otherwise(0))
+    sums = each.groupBy("policy", "rule").agg(
+        total(masked != 0).alias("rejected"), total(F.col("failure_bits").bitwiseAND(F.col("bit")) != 0).alias("failed"),
+        total(masked == F.col("bit")).alias("only_this"), total(masked.bitwiseAND(F.bitwise_not(F.col("bit"))) == 0).alias("kept_without"),
+    )
+    asked = counted.sparkSession.createDataFrame([r[:2] for r in rows], "policy string, rule string")
+    return asked.join(sums, ["policy", "rule"], "left").select("policy", "rule", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("rejected", "failed", "only_this", "kept_without")])
 
 
 def op1_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
