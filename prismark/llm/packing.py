@@ -30,7 +30,7 @@ class WordTokenizer:
     PLAIN = re.compile(r"[!-~¡-įı-ɏ]+")
     WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         from prismark.llm.bpe import _alphabet

@@ -156,7 +156,7 @@ def quoted(words: list[str], at: int, window: int = 8) -> float:
 
 
 class Scorer:
-    def __init__(self, lexicon: Lexicon, window: int = 8, most: int = 500_000):
+    def __init__(self, lexicon: Lexicon, window: int = 8, most: int = 250_000):
         self.lexicon, self.window, self.most = lexicon, window, most
         self.matcher = Matcher(lexicon.terms)
         self.none: set[str] = set()
@@ -217,23 +217,27 @@ def held_out(id_col):
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
-def _terms(stems: tuple[int, ...]):
+def _terms(stems: tuple[int, ...], most: int = 150_000):
+    """(term, toxic, clean) counts of texts, summed within a task until `most` terms are held, then sent on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        n = [0, 0]
+        counts: dict[str, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            names = ["term", "clean", "toxic"]
+            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), type=pa.string()), *[pa.array([c[k] for c in counts.values()], type=pa.int64()) for k in (0, 1)]], names=names)
+            counts.clear()
+            return out.select(["term", "toxic", "clean"])
+
         for b in batches:
             for text, label in zip(as_texts(b.column(0)), b.column(1).to_pylist(), strict=True):
                 words = {w.strip(EDGE) for w in tokens(text)} - {""}
-                found = set(words)
-                for k in stems:
-                    found |= {w[:k] + "*" for w in words if len(w) > k}
-                counts[label].update(found)
-                n[label] += 1
-        keys = list(counts[1])  # terms no toxic text has can't enter a lexicon
-        rows = [(k, counts[1][k], counts[0][k]) for k in keys] + [("", n[1], n[0])]
-        if n[0] + n[1]:
-            rows += [(k, 0, c) for k, c in counts[0].items() if k not in counts[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["term", "toxic", "clean"])
+                found = words | {w[:k] + "*" for k in stems for w in words if len(w) > k} | {""}
+                for term in found:
+                    counts.setdefault(term, [0, 0])[label] += 1
+                if len(counts) > most:
+                    yield flush()
+        yield flush()
 
     return run
 
