@@ -5,9 +5,10 @@ DataFrame and SQL functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismark.llm.common import SPACE, cut, table
@@ -135,7 +136,7 @@ def _word_rows(held: DataFrame) -> DataFrame:
     return spans.select("key", "at", F.col("s.start").alias("start"), F.col("s.end").alias("end"), term_of(F.col("s.value")).alias("term"))
 
 
-def disclosures(texts: DataFrame, n_docs: int, docs_terms, held: DataFrame, rule: Disclosure) -> DataFrame:
+def disclosures(held: DataFrame, n_docs: int, docs_terms: Callable[[DataFrame], DataFrame], rule: Disclosure) -> DataFrame:
     """(key, start, end, action) of the words to generalise or remove in the texts held(key, t, spans, n), one row
     for each different text with entities and n, how often it occurs.
 
@@ -197,7 +198,7 @@ def find(df: DataFrame, text: str = "text", rule: Disclosure = Disclosure()) ->
             return each.join(F.broadcast(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
         return each.groupBy("term").agg(F.count("*").alias("df_t")).join(asked, "term", "left_semi")
 
-    extra = disclosures(df, n_docs, docs_terms, held, rule)
+    extra = disclosures(held, n_docs, docs_terms, rule)
     # texts without an entity are dealt out by a hash of their own, not all to one task
     keyed = based.withColumn("__key", F.coalesce("__key", F.concat(F.lit("-"), F.xxhash64(F.col(text)).cast("string"), F.monotonically_increasing_id().cast("string"))))
     out = keyed.join(extra.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
