@@ -56,8 +56,8 @@ def chosen_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     the mean score of its nodes (null: 0); ties go to the longer path, then to the smaller leaf.
 
     Paths are enumerated by self-joins that double their reach: after k rounds every node knows the node 2^k above
-    it, and the length and score of what lies between, so a chain of n turns takes log2(n) joins and one row for each
-    node and round. From the chosen leaves the same tables are walked back to mark each node of the path. Each
+    it, and the length and score of what lies between, so a chain of n turns takes log2(n) joins; nodes that have
+    reached their root join no more. From the chosen leaves the same tables are walked back to mark each node of the path. Each
     round is written to the shared folder. Nodes on a cycle reach no root and are on no path. Repeated rows of a
     node count once; an empty table gives none.
     """
@@ -67,23 +67,28 @@ def chosen_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     # up: the node `parent`, 2^k above (null: the root is nearer); n nodes and their score from here to below it
     up = cut(there.select("tree", "node", F.when(F.col("__in"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("n"), F.col("score").alias("sum")), "up")
     leaves = cut(up.join(up.select("tree", F.col("up").alias("node")).where("node is not null").distinct(), ["tree", "node"], "left_anti").select("tree", "node"), "leaves")
-    total = up.count()
-    levels, most = [up], max(1, total).bit_length()
-    reach = up
-    while len(levels) <= most and reach.where("up is not null").limit(1).count():
-        above = reach.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("sum").alias("sum2"))
-        on = reach.join(above, ["tree", "up"], "left")
-        far = on.select("tree", "node", F.when(F.col("up").isNotNull(), F.col("up2")).alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"))
-        reach = cut(far, "up")
-        levels.append(reach)
+    # nodes that know their root are finished and join no more; the others go on
+    done = [up.where("up is null")]
+    levels, most = [up.where("up is not null")], max(1, up.count()).bit_length()
+    while len(levels) <= most and levels[-1].limit(1).count():
+        here = levels[-1]
+        for part in done:
+            here = here.unionByName(part)
+        above = here.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("sum").alias("sum2"))
+        on = levels[-1].join(above, ["tree", "up"])
+        far = cut(on.select("tree", "node", F.col("up2").alias("up"), (F.col("n") + F.col("n2")).alias("n"), (F.col("sum") + F.col("sum2")).alias("sum")), "up")
+        done.append(far.where("up is null"))
+        levels.append(far.where("up is not null"))
+    ended = done[0]
+    for part in done[1:]:
+        ended = ended.unionByName(part)
     rank = Window.partitionBy("tree").orderBy(F.desc(F.round(F.col("sum") / F.col("n"), 9)), F.desc("n"), "node")
-    best = reach.where("up is null").join(leaves, ["tree", "node"], "left_semi").withColumn("path", F.row_number().over(rank)).where(F.col("path") <= top)
+    best = ended.join(leaves, ["tree", "node"], "left_semi").withColumn("path", F.row_number().over(rank)).where(F.col("path") <= top)
     marked = best.select("tree", "path", "node", F.col("n").alias("depth"))
     for k in range(len(levels) - 2, -1, -1):  # from each marked node 2^k further up
-        step = marked.join(levels[k].where("up is not null").select("tree", "node", "up"), ["tree", "node"]).select("tree", "path", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
+        step = marked.join(levels[k].select("tree", "node", "up"), ["tree", "node"]).select("tree", "path", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
         marked = cut(marked.unionByName(step), "marked")
-    out = marked.select("tree", "node", F.col("path").cast("long"), "depth")
-    return out
+    return marked.select("tree", "node", F.col("path").cast("long"), "depth")
 
 
 def format_paths(nodes: DataFrame, paths: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
