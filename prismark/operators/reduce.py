@@ -35,32 +35,66 @@ def pca(df: DataFrame, dims: int = 2, vec: str = "embedding") -> DataFrame:
     return df.select("object_id", "pos", F.array(*on).alias("coords"))
 
 
-def smacof(distance: np.ndarray, dims: int, starts: int = 1, rounds: int = 300, seed: int = 0) -> np.ndarray:
-    """Metric scaling by majorisation, the best of seeded starts."""
-    n, best, least = len(distance), None, np.inf
+#: Distances are met in tiles of TILE x TILE; tiles of up to HELD distances in all (256 MB) stay in memory, beyond that each round makes them anew.
+TILE = 256
+HELD = 1 << 25
+
+
+def smacof(distance: Callable[[slice, slice], np.ndarray], n: int, dims: int, starts: int = 1, rounds: int = 300, seed: int = 0) -> np.ndarray:
+    """Metric scaling by majorisation, the best of seeded starts. distance(i, j) gives the distances of rows i from rows j, which
+    are symmetric, so tiles on and above the diagonal are enough: memory is bounded by HELD, however many rows there are."""
+    cuts = [slice(i, min(i + TILE, n)) for i in range(0, n, TILE)]
+    pairs = [(i, j) for k, i in enumerate(cuts) for j in cuts[k:]]
+    held = [distance(i, j) for i, j in pairs] if n * (n + TILE) // 2 <= HELD else None
+    best, least = None, np.inf
     for s in range(starts):
         x = np.random.default_rng([seed, s]).random((n, dims))
         last = np.inf
         for _ in range(rounds):
-            d = np.linalg.norm(x[:, None] - x[None], axis=2)
-            stress = ((d - distance) ** 2).sum() / 2
+            stress, moved = 0.0, np.zeros_like(x)
+            ones = np.column_stack([x, np.ones(n)])
+            for k, (i, j) in enumerate(pairs):
+                want = held[k] if held else distance(i, j)
+                d = np.zeros_like(want)
+                for c in range(dims):
+                    part = x[i, None, c] - x[None, j, c]
+                    part *= part
+                    d += part
+                np.sqrt(d, out=d)
+                off = np.subtract(d, want, out=part).ravel()
+                stress += (off @ off) * (0.5 if i == j else 1.0)  # a tile of the diagonal holds each pair twice
+                if i == j or d.min() <= 1e-12:
+                    d[d <= 1e-12] = np.inf  # rows at one place don't move one another
+                b = np.divide(want, d, out=d)
+                to = b @ ones[j]
+                moved[i] += to[:, -1:] * x[i] - to[:, :-1]
+                if i != j:
+                    to = b.T @ ones[i]
+                    moved[j] += to[:, -1:] * x[j] - to[:, :-1]
             if last - stress < 1e-6 * max(stress, 1e-12):
                 break
             last = stress
-            b = -np.divide(distance, d, out=np.zeros_like(d), where=d > 1e-12)
-            b[np.arange(n), np.arange(n)] -= b.sum(axis=1)
-            x = b @ x / n
+            x = moved / n
         if last < least:
             best, least = x, last
     return best if best is not None else np.zeros((n, dims))
 
 
 def mds_euclidean(x: np.ndarray, dims: int) -> np.ndarray:
-    return smacof(np.linalg.norm(x[:, None] - x[None], axis=2), dims)
+    square = np.square(x).sum(axis=1)
+
+    def distance(i: slice, j: slice) -> np.ndarray:
+        far = np.sqrt(np.clip(square[i, None] + square[None, j] - 2 * x[i] @ x[j].T, 0, None))
+        if i == j:
+            np.fill_diagonal(far, 0)
+        return far
+
+    return smacof(distance, len(x), dims)
 
 
 def mds_cosine(x: np.ndarray, dims: int) -> np.ndarray:
-    return smacof(np.clip(1 - units(x) @ units(x).T, 0, None), dims, starts=4)
+    unit = units(x)
+    return smacof(lambda i, j: np.clip(1 - unit[i] @ unit[j].T, 0, None), len(x), dims, starts=4)
 
 
 def _graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +178,7 @@ ALWAYS = ("pca", "mds")
 
 
 def by_object(pool: DataFrame, method: str, dims: int = 2) -> DataFrame:
-    """(object_id, pos, coords) of each object's rows. These methods hold an object's N x N distances: for pools of pictures, not of corpora."""
+    """(object_id, pos, coords) of each object's rows. MDS meets an object's distances in tiles, the others hold all N x N: for pools of pictures, not of corpora."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
     kind = pool.schema["object_id"].dataType.simpleString()

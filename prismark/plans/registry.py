@@ -706,7 +706,7 @@ def pca(spark, sf):
 
 @query("mds")
 def mds(spark, sf):
-    return reduce.by_object(pool(spark, sf).where("object_id < 3"), "mds_cosine")
+    return reduce.by_object(pool(spark, sf), "mds_cosine")
 
 
 _HS = ("laplacian", "tenengrad", "artifact_fraction", "area_fraction")

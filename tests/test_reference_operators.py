@@ -251,3 +251,22 @@ def test_against_sql(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES.keys() - registry.ORACLE_SQL.keys()))
 def test_runs(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
+
+
+def test_mds_scales_every_object(spark, sf):
+    got = registry.QUERIES["mds"](spark, sf).collect()
+    want = registry.pool(spark, sf).select("object_id", "pos").collect()
+    assert sorted((r.object_id, r.pos) for r in got) == sorted(map(tuple, want)) and len({r.object_id for r in got}) > 3
+    assert all(len(r.coords) == 2 and np.isfinite(r.coords).all() for r in got)
+
+
+def test_mds_in_tiles(monkeypatch):
+    """Tiles, held or made anew, give what one matrix gives; a plane's distances come back."""
+    x = np.random.default_rng(2).normal(size=(50, 2))
+    want, cosine = reduce.mds_euclidean(x, 2), reduce.mds_cosine(x, 2)
+    far = lambda y: np.linalg.norm(y[:, None] - y[None], axis=2)
+    assert np.abs(far(want) - far(x)).mean() < 0.1 * far(x).mean()
+    monkeypatch.setattr(reduce, "TILE", 16)
+    for held in (1 << 25, 0):
+        monkeypatch.setattr(reduce, "HELD", held)
+        assert np.allclose(reduce.mds_euclidean(x, 2), want) and np.allclose(reduce.mds_cosine(x, 2), cosine)
