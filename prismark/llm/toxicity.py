@@ -32,7 +32,7 @@ class Fit:
     min_precision: float = 0.9
     chance: float = 0.05  # of one false term in the whole lexicon
     stems: tuple[int, ...] = (4, 5, 6)
-    most_terms: int = 2000
+    most_terms: int = 2000  # besides the words that a stem begins, of which the sample bounds the number
 
 
 @dataclass
@@ -245,7 +245,8 @@ def _terms(stems: tuple[int, ...], most: int = 150_000):
 def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """A lexicon from a bounded sample of labelled rows (Fit). Scores never see labels, ids or other columns.
 
-    Terms are words and word stems whose share of toxic texts can't be chance over all terms tried. Weights are
+    Terms are words and word stems whose share of toxic texts can't be chance over all terms tried. A stem stands for
+    the words it begins that are no terms themselves; those that are stay, and are met misspelled too. Weights are
     log odds; a misspelling starts from a little evidence for abuse, which clean texts that hold it, or words that begin
     alike, soon outweigh.
     Without labels, or with labels of one kind only, the lexicon is empty and scores are the share of toxic
@@ -275,18 +276,22 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
                 if len(term) > k:
                     best_word[term[:k] + "*"] = max(best_word.get(term[:k] + "*", 0), t)
     kept: list[str] = []
+    free = 0
     counts: dict[str, tuple[int, int]] = {}
     for term, t, c in sorted(strong, key=lambda x: (-round(gain(x[1], x[2]), 6), x[0].endswith("*"), -len(x[0]), x[0])):
         stem = term.endswith("*")
         if stem and t < 1.25 * best_word.get(term, 0):
             continue
         bare = term.rstrip("*")
-        if any(k.endswith("*") and (bare.startswith(k[:-1]) or (stem and k.startswith(bare))) for k in kept):
+        under = any(k.endswith("*") and bare.startswith(k[:-1]) for k in kept)
+        if stem and (under or any(k.endswith("*") and k.startswith(bare) for k in kept)):
             continue
+        if not under:  # words under a stem come on top, for only words may be misspelled
+            if free >= fit.most_terms:
+                continue
+            free += 1
         kept.append(term)
         counts[term] = (t, c)
-        if len(kept) >= fit.most_terms:
-            break
     begins = {t: t[: 4 if len(t) < 8 else 6] + "*" for t in kept if not t.endswith("*")}
     asked = rows.sparkSession.createDataFrame([(b,) for b in sorted(set(begins.values()))], "term string")
     clean = {r["term"]: r["clean"] for r in counted.join(F.broadcast(asked), "term").collect()}

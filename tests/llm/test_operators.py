@@ -320,6 +320,21 @@ def test_toxicity_cases(spark):
     assert toxicity.score(frame(spark, []), lex).count() == 0
 
 
+def test_toxicity_misspelled_inflections(spark):
+    """A term learned as a stem too is met with an edit in any place, its first letters included."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeurnslm") for _ in range(rng.randint(2, 8)))
+    abuse = ["idiot"] * 200 + ["idiots"] * 40 + ["idiotic"] * 15
+    rows = [(i, " ".join([*(word() for _ in range(20)), *([abuse[i]] if i < len(abuse) else []), *(word() for _ in range(20))])) for i in range(1200)]
+    lex = toxicity.learn(frame(spark, rows), frame(spark, [(i, int(i < len(abuse))) for i, _ in rows], "doc_id long, toxic int"))
+    assert "idiot" in lex.terms and any(t.startswith("idio") and t.endswith("*") for t in lex.terms)
+    s = toxicity.Scorer(lex)
+    base = " ".join(word() for _ in range(20))
+    assert s.score(base) < 0.5
+    for w in ("idiot", "idiots", "idiotic", "ldiot", "1diot", "idi0t", "iidiot", "didiots", "idiotically"):
+        assert s.score(f"{base} you {w} now") > 0.5, w
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
