@@ -18,6 +18,7 @@ from prismark.llm.common import add_columns, as_texts, cut, field, small_batches
 
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’‚‹›¡¿…–—"
 QUOTES = "\"«»“”„‹›"
+POINTS = "".join(c for c in EDGE if c not in QUOTES)
 #: Words that introduce somebody else's words (fixed values).
 REPORTING = frozenset("said says wrote quoted called named dit écrit appelé sagte schrieb nannte dijo escribió llamó".split())
 
@@ -145,14 +146,39 @@ class Matcher:
         return exact
 
 
+def marks(word: str, depth: int) -> tuple[int, int]:
+    """How many quotations the word's quotation marks open before it and close after it, where `depth` are open.
+
+    A mark's place tells which it does, as languages differ; one that stands alone goes by its kind, and a straight one by depth.
+    """
+    bare = word.strip(POINTS)
+    if not bare:
+        return 0, 0
+    if not bare.strip(QUOTES):
+        opens = not depth if bare[0] == '"' else bare[0] in "«“„‹"
+        return int(opens), int(not opens or len(bare) > 1)
+    return int(bare[0] in QUOTES), int(bare[-1] in QUOTES)
+
+
 def quoted(words: list[str], at: int, window: int = 8) -> float:
     """How far the words around say that the term is quoted: 0.3 inside quotation marks or after a reporting word, else 1."""
     before = words[max(0, at - window) : at + 1]
-    after = words[at : at + window + 1]
-    opens = any(w[0] in QUOTES for w in before) and not any(w[-1] in QUOTES and i < len(before) - 1 for i, w in enumerate(before) if w[0] not in QUOTES)
-    closes = any(w.rstrip(".,;:!?")[-1:] in QUOTES and w.rstrip(".,;:!?") for w in after)
+    depth = 0
+    for w in before[:-1]:
+        opens, closes = marks(w, depth)
+        depth = max(0, depth + opens - closes)
+    depth += marks(words[at], depth)[0]
+    held = depth
+    if depth:
+        depth -= marks(words[at], depth)[1]
+        for w in words[at + 1 : at + window + 1]:
+            if depth < held:
+                break
+            opens, closes = marks(w, depth)
+            depth += opens - closes
+    inside = depth < held
     reported = any(w.strip(EDGE) in REPORTING for w in before[-4:-1])
-    return 0.3 if (opens and closes) or reported else 1.0
+    return 0.3 if inside or reported else 1.0
 
 
 class Scorer:

@@ -335,6 +335,14 @@ def test_toxicity_misspelled_inflections(spark):
         assert s.score(f"{base} you {w} now") > 0.5, w
 
 
+def test_quoted():
+    far = lambda text: toxicity.quoted(text.split(), [w.strip(toxicity.EDGE) for w in text.split()].index("idiot"))
+    for text in ('"Hello" you idiot "bye"', "« Salut » you idiot « adieu »", 'and "so then", you idiot "bye"', 'you idiot "bye"', "you idiot « adieu »", '"Hello" you idiot', 'she had "one idea", idiot, not "two"'):
+        assert far(text) == 1.0, text
+    for text in ('the note: "you idiot" was it', "« you idiot » was it", '"Hello" and "you idiot" and "bye"', '"idiot", it read', '« idiot »', '("you idiot")', "she said idiot", '„du idiot“ hat es', '“you idiot” it read', '»du idiot« war es', '"Hello you «idiot»'):
+        assert far(text) == 0.3, text
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
