@@ -28,12 +28,20 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one of the smallest id. Documents without an id stay, for nothing names them."""
+    """One document of each SimHash component: the one of the smallest id. Documents without an id stay, for nothing names them.
+
+    Components are of fingerprints, as several texts may share an id: each text keeps a document of its own component.
+    """
     small_batches(spark)
-    found = cut(simhash.near_duplicates(docs), "components")
-    stays = found.where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.select(*DOCUMENT).join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.select(*DOCUMENT).where("doc_id is null"))
+    docs = docs.select(*DOCUMENT)
+    named = docs.where("doc_id is not null")
+    prints = cut(simhash.with_fingerprint(named, "text", keep=["doc_id"]), "fingerprints")
+    found = simhash.classes(prints.select("fingerprint", F.col("fingerprint").alias("node")), id_col="node")
+    stays = prints.join(found, "fingerprint").groupBy("component_id").agg(F.min(F.struct("doc_id", "fingerprint")).alias("first"))
+    stays = cut(stays.select("first.doc_id", "first.fingerprint"), "components")
+    once = simhash.with_fingerprint(named.join(stays.select("doc_id").distinct(), "doc_id", "left_semi"), "text", keep=list(DOCUMENT))
+    once = once.join(stays, ["doc_id", "fingerprint"], "left_semi").dropDuplicates(["doc_id", "fingerprint"]).select(*DOCUMENT)
+    return once.unionByName(docs.where("doc_id is null"))
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

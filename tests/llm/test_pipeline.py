@@ -94,3 +94,13 @@ def test_stages_on_odd_rows(spark, tmp_path):
             if name == "pii":
                 assert Counter((r.doc_id, r.text) for r in got) == Counter(r[:2] for r in given)
 
+
+def test_distinct_texts_under_one_id_stay(spark):
+    """Only copies go where rows share an id, whether one of them is a copy of a smaller id or not."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in ("red", "blue", "green"))
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (8, a + " more"), (9, c), (9, c), (None, a)]
+    rows = [(i, t, "en", "x", len(t)) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_copies(spark, docs, SF).collect()
+    named = Counter((r.doc_id, r.text) for r in got if r.text != a + " more")
+    assert named == Counter([(3, a), (5, b), (8, c), (None, a)])
