@@ -44,7 +44,7 @@ PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
 
 
 @cache
-def ranks(path: str | None, most: int = 20_000) -> dict[str, int]:
+def ranks(path: str | None) -> dict[str, int]:
     """word -> rank: the common ones, then whole words of a public vocabulary file in its order (frequent first)."""
     words = list(COMMON)
     if path:
@@ -53,7 +53,7 @@ def ranks(path: str | None, most: int = 20_000) -> dict[str, int]:
         vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
         words += [w[:-4] for w, _ in sorted(vocab.items(), key=lambda x: x[1]) if w.endswith("</w>") and len(w) > 6 and w[:-4].isascii() and w[:-4].isalpha()]
     out: dict[str, int] = {}
-    for w in words[:most]:
+    for w in words:
         out.setdefault(w, len(out) + 1)
     return out
 

@@ -444,6 +444,14 @@ def test_guess_costs():
     assert ("guess", 7, 17) in spans and len([s for s in spans if s[0] == "guess"]) == 1
 
 
+def test_whole_vocabulary():
+    import public_tokenizers
+
+    words = secrets.ranks(public_tokenizers.path("word_bpe_49k.json"))
+    for w in ("contamination", "philharmonic"):
+        assert w in words and not [s for s in secrets.scan(f"the secret is {w}", words, 8.0)[0] if s[0] == "guess"]
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 VOCAB8 = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
