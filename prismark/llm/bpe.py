@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import json
 import re
+from array import array
 from collections.abc import Callable
 from functools import cache
 from struct import pack
@@ -15,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismark.llm.common import add_columns, as_texts, field, small_batches, table
+from prismark.llm.common import LONGEST, add_columns, as_texts, field, table
 
 
 def _alphabet() -> dict[int, str]:
@@ -40,7 +41,7 @@ class PrefixEncoder:
     """
 
     def __init__(self, path: str, most: int = 600_000):
-        self.most = most  # entries of each table of what was met: bounds a worker's memory; what falls out is computed again
+        self.most = most  # entries, of up to LONGEST characters, of each table of what was met: bounds a worker's memory; the rest is computed again
         spec = json.load(open(path, encoding="utf-8"))
         vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
@@ -100,7 +101,7 @@ class PrefixEncoder:
     def word(self, s: str) -> list[int]:
         """Ids of one word, written in the vocabulary's alphabet."""
         fits = self._fits
-        last, size = [-1] * (len(s) + 1), [0] * (len(s) + 1)
+        last, size = array("i", [-1]) * (len(s) + 1), array("i", [0]) * (len(s) + 1)
         for end, (token, n) in self.auto.iter(s):
             end += 1
             if size[end]:
@@ -140,7 +141,9 @@ class PrefixEncoder:
                     if x is None:
                         got: list[bytes] = []
                         self._words(" " + rest[i], got)
-                        x = self.spans[rest[i]] = b"".join(got)
+                        x = b"".join(got)
+                        if len(rest[i]) <= LONGEST:
+                            self.spans[rest[i]] = x
                     ids[i] = x
         out += ids
 
@@ -155,7 +158,10 @@ class PrefixEncoder:
                     x = self.known.get(w)
                     if x is None:
                         key = w if w.isascii() and w.isprintable() and w[0] != " " else w.encode().decode("latin-1").translate(self.table)
-                        x = self.known[w] = pack(f"<{len(got)}I", *got) if (got := self.word(key)) else b""
+                        got = self.word(key)
+                        x = pack(f"<{len(got)}I", *got)
+                        if len(w) <= LONGEST:
+                            self.known[w] = x
                     ids[i] = x
         out += ids
 
@@ -213,6 +219,5 @@ def encode_and_decode(df: DataFrame, path: str, text: str = "text", keep: list[s
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    small_batches(spark)
     coded = encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,33 +17,47 @@ from pyspark.sql import types as T
 #: The six characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 
+#: Longer words are looked up anew each time: tables of words met are bounded by entries, so entries must be bounded too.
+LONGEST = 64
+
 _own: dict[str, str] = {}
+_cleared: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: fewer rows in each Arrow batch bound a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir. Where that is unset, a folder of our own, in local mode only:
+    driver and executors of a cluster share no machine-local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="prismark-")
     return _own[app]
 
 
+def _clear(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session was stopped, and its file systems with it
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: a lost executor costs no earlier stage."""
+    """df, written as Parquet to the shared folder and read again: a lost executor costs no earlier stage.
+
+    Results are lazy and may read such tables at any time, so they stay until remove(), or until the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _cleared:
+        _cleared.add(folder)
+        atexit.register(_clear, spark, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,6 +71,24 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def pieces(batch: pa.RecordBatch, at: Sequence[int], most_bytes: int = 4 << 20, most_rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose columns `at` hold about most_bytes of text at most (a longer text is a slice of its own).
+
+    Spark bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch; what Python makes of texts is larger, so that
+    only a slice of them is held as Python objects at a time, whatever the session's settings are."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for i in at:
+        if pa.types.is_string(batch.column(i).type) or pa.types.is_binary(batch.column(i).type):
+            sizes += pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < batch.num_rows:
+        room = (ends[start - 1] if start else 0) + most_bytes
+        stop = max(start + 1, min(int(np.searchsorted(ends, room, side="right")), start + most_rows))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def add_columns(
     df: DataFrame,
     uses: Sequence[str],
@@ -65,7 +99,8 @@ def add_columns(
     """Append columns that Python computes from each Arrow batch.
 
     make() runs once in each task and returns f(*arrow columns of uses) -> one sequence for each of fields.
-    Columns of keep (None: all) pass through unread; a new column replaces an input column of its name.
+    Columns of keep (None: all) pass through unread; a new column replaces an input column of its name. f is given a
+    bounded slice of a batch at a time (pieces).
     """
     names = [f.name for f in fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
@@ -78,10 +113,10 @@ def add_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
         for batch in batches:
-            if batch.num_rows:
+            for part in pieces(batch, at):
                 f = f or make()
-                new = f(*[batch.column(i) for i in at])
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n_kept)] + [x if isinstance(x, pa.Array) else pa.array(x, type=_arrow(t.dataType)) for x, t in zip(new, fields, strict=True)], names=kept + names)
+                new = f(*[part.column(i) for i in at])
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n_kept)] + [x if isinstance(x, pa.Array) else pa.array(x, type=_arrow(t.dataType)) for x, t in zip(new, fields, strict=True)], names=kept + names)
 
     return src.mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismark.llm.common import add_columns, as_bytes, cut, field, local_roots, map_runs, small_batches, table
+from prismark.llm.common import add_columns, as_bytes, cut, field, local_roots, map_runs, table
 from prismark.llm.components import components
 
 BITS = 64
@@ -211,6 +211,5 @@ def hexed(bits: Column) -> Column:
 
 
 def op3_simhash_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hexed(F.col("fingerprint")).alias("fingerprint"), "component_id")
