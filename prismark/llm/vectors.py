@@ -59,32 +59,33 @@ class Hasher:
             return (cells.reshape(len(unit), self.tables, self.k) * mix[None, None, :]).sum(axis=2)
 
 
-def _units(rows: np.ndarray) -> np.ndarray:
+def _units(raw: list[bytes], kind: str) -> np.ndarray:
+    """Rows of length one, in doubles. Scaled by their largest component first: squares neither overflow nor vanish."""
+    rows = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype("<f8")
+    rows /= np.abs(rows).max(axis=1)[:, None]
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
-def _vectors(column: pa.Array) -> list[bytes | None]:
-    """Each vector as doubles; None where it is null, empty, zero or holds what is no finite number."""
+def _vectors(column: pa.Array, kind: str) -> list[bytes | None]:
+    """The bytes of each vector, as precise as they came; None where it is null, empty, zero or holds what is no finite number."""
     out: list[bytes | None] = []
     for x in column:
         v = None
         if x.is_valid and len(x.values):
-            v = x.values.to_numpy(zero_copy_only=False).astype("<f8") if not x.values.null_count else None
-        if v is not None:
-            top = np.abs(v).max()
-            v = v / top if np.isfinite(v).all() and top > 0 else None  # scaled: squares neither overflow nor vanish
-        out.append(None if v is None else (v + 0.0).tobytes())
+            v = x.values.to_numpy(zero_copy_only=False).astype(kind) if not x.values.null_count else None
+        if v is not None and not (np.isfinite(v).all() and v.any()):
+            v = None
+        out.append(None if v is None else (v + v.dtype.type(0)).tobytes())  # without negative zeros
     return out
 
 
-def _block(cosine: float, hasher: Hasher):
+def _block(cosine: float, hasher: Hasher, kind: str):
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             t, i, j = (batch.column(c)[0].as_py() for c in (0, 2, 3))
             side, ids, mult = (batch.column(c).to_numpy() for c in (4, 5, 6))
             t %= hasher.tables
-            raw = batch.column(7).to_pylist()
-            unit = _units(np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1))
+            unit = _units(batch.column(7).to_pylist(), kind)
             match = unit @ unit.T >= cosine
             np.fill_diagonal(match, False)
             if i != j:
@@ -121,7 +122,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding
     gives none. Other columns are left out, whatever their names.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("vec"))
-    packed = add_columns(rows, ["vec"], [field("raw", "binary")], lambda: lambda v: [_vectors(v)], keep=["id"])
+    kind = "<f4" if rows.schema["vec"].dataType.elementType == T.FloatType() else "<f8"  # cosines are in doubles either way
+    packed = add_columns(rows, ["vec"], [field("raw", "binary")], lambda: lambda v: [_vectors(v, kind)], keep=["id"])
     members = cut(packed.withColumn("same", F.when(F.col("raw").isNotNull() & F.col("id").isNotNull(), F.sha2("raw", 256))), "members")
     valid = members.where("same is not null").select("id", "same", "raw")
     each = valid.groupBy("same", "id").agg(F.any_value("raw").alias("raw"))
@@ -136,7 +138,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding
             lens = np.array([len(v) for v in vs])
             for n in np.unique(lens):
                 at = np.flatnonzero(lens == n)
-                keys = hasher.keys(_units(np.frombuffer(b"".join(vs[x] for x in at), dtype="<f8").reshape(len(at), -1)))
+                keys = hasher.keys(_units([vs[x] for x in at], kind))
                 for x, row in zip(at, keys, strict=True):
                     out[x] = row.tolist()
             return [out]
@@ -148,7 +150,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding
     each_key = keyed.select("id", "mult", "raw", F.posexplode("keys").alias("t", "key"))
     spread = each_key.withColumn("t", F.octet_length("raw").cast("long") * tables + F.col("t"))
     dealt = deal_blocks(spread, block).select("t", "key", "i", "j", "chunk", "id", "mult", "raw")
-    found = cut(map_runs(dealt, ["t", "key", "i", "j"], _block(cosine, hasher), T.StructType([field("node", "long"), field("links", "long"), field("root", "long")])), "links")
+    found = cut(map_runs(dealt, ["t", "key", "i", "j"], _block(cosine, hasher, kind), T.StructType([field("node", "long"), field("links", "long"), field("root", "long")])), "links")
     linked = found.groupBy("node").agg(F.sum("links").alias("links")).join(components(found, "node", "root"), "node", "left")
     by_class = reps.join(linked, reps.id == linked.node, "left").select("same", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     # rows without a class are dealt out by their id, not all to one task
