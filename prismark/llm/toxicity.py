@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismark.llm.common import add_columns, as_texts, cut, field, small_batches, table
+from prismark.llm.common import LONGEST, add_columns, as_texts, cut, field, table
 
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’‚‹›¡¿…–—"
 QUOTES = "\"«»“”„‹›"
@@ -33,12 +33,11 @@ class Fit:
     min_precision: float = 0.9
     chance: float = 0.05  # of one false term in the whole lexicon
     stems: tuple[int, ...] = (4, 5, 6)
-    most_terms: int = 2000  # besides the words that a stem begins, of which the sample bounds the number
 
 
 @dataclass
 class Lexicon:
-    """terms: word, or stem with a trailing *. weights: (term, edits) -> log odds that a text with it gains.
+    """terms: word, or stem with a trailing *. weights: (term, kind of match) -> log odds that a text with it gains.
 
     prior: log odds of any text; bias: of a text without any term."""
 
@@ -52,98 +51,129 @@ def tokens(text: str) -> list[str]:
     return text.lower().split()
 
 
+def allowed(term: str, one: int = 5, two: int = 9) -> int:
+    """How many edits a term may be met with, by its length: none under `one` characters, two from `two` on, else one."""
+    size = len(term.rstrip("*"))
+    return 0 if size < one else 1 if size < two else 2
+
+
 class Matcher:
-    """The trie of a lexicon, met with the Levenshtein automaton of one edit, made deterministic as words come by.
+    """The trie of a lexicon, met with the Levenshtein automaton of its terms, made deterministic as words come by.
 
-    A state is the set of (trie node, edits used, insertions owed) the characters so far can have led to; states and their
-    steps are kept, so a word costs a few look-ups, and most words reach the empty state after a few characters.
-    Terms of `fuzzy` characters and more match with one insertion, deletion or substitution; stems (which match
-    any word that starts with them) and shorter terms match exactly.
+    An edit is a character more, less or other, or two neighbours swapped (no character is edited twice). An item is
+    (trie node, edits used, the character owed by a swap); a state is the set of items that the characters so far can
+    have led to. States and their steps are kept, so a word costs a few look-ups, and most words reach the empty
+    state after a few characters. A stem (a term with a trailing *) matches any word that has a beginning within
+    the stem's edits of it.
     """
 
-    MOST = 200_000
+    MOST = 500_000  # items of all states held
 
-    def __init__(self, terms: list[str], fuzzy: int = 5):
+    def __init__(self, terms: list[str]):
         self.next: list[dict[str, int]] = [{}]
-        self.ends: list[str | None] = [None]
-        self.deep: list[bool] = [False]  # whether a term that may be misspelled runs through the node
+        self.words: list[str | None] = [None]
+        self.stems: list[str | None] = [None]
+        self.deep: list[int] = [0]  # the most edits of a term that runs through the node
+        self.edits = {t: allowed(t) for t in terms}
         for term in terms:
-            node = 0
-            may = not term.endswith("*") and len(term) >= fuzzy
-            self.deep[0] |= may
-            for c in term if may or not term.endswith("*") else term[:-1]:
+            node, most = 0, self.edits[term]
+            self.deep[0] = max(self.deep[0], most)
+            for c in term.rstrip("*"):
                 if c not in self.next[node]:
                     self.next[node][c] = len(self.next)
                     self.next.append({})
-                    self.ends.append(None)
-                    self.deep.append(False)
+                    self.words.append(None)
+                    self.stems.append(None)
+                    self.deep.append(0)
                 node = self.next[node][c]
-                self.deep[node] |= may
-            if self.ends[node] is None or not term.endswith("*"):
-                self.ends[node] = term
-        self.fuzzy = fuzzy
+                self.deep[node] = max(self.deep[node], most)
+            (self.stems if term.endswith("*") else self.words)[node] = term
         self._reset()
 
     def _reset(self) -> None:
         self.of: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
-        self.result: list[tuple[str, int] | None] = []
-        self.start = self._state(frozenset([(0, 0)]))
-
-    def _closed(self, items: set[tuple[int, int]]) -> frozenset:
-        """With the trie nodes that a character left out leads to."""
-        more = set(items)
-        for node, used in items:
-            if used == 0 and self.deep[node]:
-                more |= {(n, 1) for n in self.next[node].values() if self.deep[n]}
-        return frozenset(x for x in more if x[1] == 0 or (x[0], 0) not in more)
-
-    def _state(self, items: frozenset) -> int:
-        items = self._closed(set(items))
-        at = self.of.get(items)
+        self.whole: list[tuple[int, str] | None] = []  # (edits, word) if the word ends here
+        self.begun: list[tuple[int, str] | None] = []  # (edits, stem) whatever follows
+        self.held = 0
+        self.start = self._state({(0, 0, "")})
+
+    def _closed(self, items: set[tuple[int, int, str]]) -> frozenset:
+        """With the trie nodes that characters left out lead to, and without what another item reaches with fewer edits."""
+        least: dict[tuple[int, str], int] = {}
+        todo = sorted(items, key=lambda x: x[1])
+        for node, used, owed in todo:  # grows as it is read, by edits
+            if used >= least.get((node, owed), 99):
+                continue
+            least[node, owed] = used
+            if not owed:
+                todo += [(n, used + 1, "") for n in self.next[node].values() if used < self.deep[n]]
+        return frozenset((n, u, o) for (n, o), u in least.items())
+
+    def _state(self, items: set[tuple[int, int, str]]) -> int:
+        closed = self._closed(items)
+        at = self.of.get(closed)
         if at is None:
-            at = self.of[items] = len(self.sets)
-            self.sets.append(items)
+            at = self.of[closed] = len(self.sets)
+            self.sets.append(closed)
             self.steps.append({})
-            found = [(u, self.ends[n]) for n, u in items if self.ends[n] is not None and not self.ends[n].endswith("*") and (u == 0 or len(self.ends[n]) >= self.fuzzy)]
-            self.result.append((min(found)[1], min(found)[0]) if found else None)
+            self.held += len(closed)
+            for ends, out in ((self.words, self.whole), (self.stems, self.begun)):
+                out.append(min(((u, ends[n]) for n, u, o in closed if not o and ends[n] is not None and u <= self.edits[ends[n]]), default=None))
         return at
 
     def _step(self, state: int, c: str) -> int:
-        out: set[tuple[int, int]] = set()
-        for node, used in self.sets[state]:
-            if c in self.next[node]:
-                child = self.next[node][c]
-                if used == 0 or self.deep[child]:
-                    out.add((child, used))
-            if used == 0 and self.deep[node]:
-                out.add((node, 1))  # c is one too many
-                out |= {(n, 1) for n in self.next[node].values() if self.deep[n]}  # c stands for another
-        at = self.steps[state][c] = self._state(frozenset(out)) if out else -1
+        out: set[tuple[int, int, str]] = set()
+        for node, used, owed in self.sets[state]:
+            if owed:
+                if c == owed:
+                    out.add((node, used, ""))
+                continue
+            child = self.next[node].get(c)
+            if child is not None and used <= self.deep[child]:
+                out.add((child, used, ""))
+            if used < self.deep[node]:
+                out.add((node, used + 1, ""))  # c is one too many
+                for x, n in self.next[node].items():
+                    if used < self.deep[n]:
+                        out.add((n, used + 1, ""))  # c stands for x
+                        over = self.next[n].get(c)
+                        if over is not None and x != c and used < self.deep[over]:
+                            out.add((over, used + 1, x))  # c came before x
+        at = self.steps[state][c] = self._state(out) if out else -1
         return at
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """(term, edits) that the word matches best, or None. Stems are looked up along the trie itself."""
-        if len(self.sets) > self.MOST:
+        """(term, edits) that the word matches best, or None: fewest edits, then words before stems, then by name."""
+        if self.held > self.MOST:
             self._reset()
-        state = self.start
+        state, begun = self.start, self.begun[self.start]
         for c in word:
             to = self.steps[state].get(c)
             state = self._step(state, c) if to is None else to
             if state < 0:
                 break
-        exact = self.result[state] if state >= 0 else None
-        if exact and exact[1] == 0:
-            return exact
-        node = 0
-        for c in word:
-            node = self.next[node].get(c, -1)
-            if node < 0:
-                break
-            if self.ends[node] is not None and self.ends[node].endswith("*"):
-                return self.ends[node], 0
-        return exact
+            found = self.begun[state]
+            if found is not None and (begun is None or found < begun):
+                begun = found
+        whole = self.whole[state] if state >= 0 else None
+        best = whole if begun is None or whole is not None and whole[0] <= begun[0] else begun
+        return None if best is None else (best[1], best[0])
+
+
+def kind(word: str, term: str, edits: int) -> int:
+    """How a word matches a term, as weights tell it apart (KINDS): as it is, with one edit though it begins alike, with one
+    edit and another beginning, or with two."""
+    return 0 if not edits else 3 if edits > 1 else 1 if word.startswith(beginning(term)) else 2
+
+
+KINDS = range(4)
+
+
+def beginning(term: str) -> str:
+    bare = term.rstrip("*")
+    return bare[: 4 if len(bare) < 8 else 6]
 
 
 def marks(word: str, depth: int) -> tuple[int, int]:
@@ -188,19 +218,19 @@ class Scorer:
         self.none: set[str] = set()
 
     def found(self, text: str) -> dict[tuple[str, int], float]:
-        """(term, edits) -> the strongest context factor it has in the whole text."""
+        """(term, kind) -> the strongest context factor it has in the whole text."""
         words = tokens(text)
         none, out = self.none, {}
-        fresh = set(words) - none
         hits = {}
-        for w in fresh:
-            m = self.matcher.match(w.strip(EDGE))
-            if m is None:
+        for w in set(words) - none:
+            bare = w.strip(EDGE)
+            m = self.matcher.match(bare)
+            if m is not None:
+                hits[w] = m[0], kind(bare, *m)
+            elif len(w) <= LONGEST:
                 if len(none) >= self.most:
                     none.clear()
                 none.add(w)
-            else:
-                hits[w] = m
         if hits:
             for at, w in enumerate(words):
                 if w in hits and out.get(hits[w], 0.0) < 1.0:
@@ -216,15 +246,22 @@ class Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, fit: Fit, id_col: str, text: str, label: str) -> DataFrame:
-    """text and label of at most fit.toxic_docs and fit.clean_docs labelled rows, those of least hash, none held out."""
+    """text and label of at most fit.toxic_docs and fit.clean_docs labelled rows, those of least hash, none held out.
+
+    Of several texts under one id, the one of least hash is taken; so is it of copies and near copies (texts that share a
+    signature and a label), which are one witness. The same rows give the same sample, in whatever order they come.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).where(~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label).alias("__label"))
     pick = lambda value, n: known.where(F.col("__label") == value).orderBy(F.xxhash64(id_col), id_col).limit(n)
     chosen = pick(1, fit.toxic_docs).unionByName(pick(0, fit.clean_docs))
-    rows = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col).select("text", F.col("__label").cast("long").alias("label"))
-    # copies and near copies are one witness: one row is kept for each value of each signature (a bounded sample, so a small shuffle)
+    rows = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)  # as many rows as Fit says
+    least = F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text")
+    rows = rows.groupBy(id_col, F.col("__label").cast("long").alias("label")).agg(least).drop(id_col)
     rows = add_columns(rows, ["text"], [field(f"m{k}", "long") for k in range(len(MIXES))], lambda: lambda texts: list(zip(*[signatures(t) for t in as_texts(texts)], strict=True)))
     for k in range(len(MIXES)):
-        rows = rows.dropDuplicates(["label", f"m{k}"])
+        others = [f"m{j}" for j in range(k + 1, len(MIXES))]
+        first = F.min_by(F.struct("text", *others), F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("x")
+        rows = rows.groupBy("label", f"m{k}").agg(first).select("label", "x.*")
     return cut(rows.select("text", "label"), "sample")
 
 
@@ -271,10 +308,11 @@ def _terms(stems: tuple[int, ...], most: int = 150_000):
 def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """A lexicon from a bounded sample of labelled rows (Fit). Scores never see labels, ids or other columns.
 
-    Terms are words and word stems whose share of toxic texts can't be chance over all terms tried. A stem stands for
-    the words it begins that are no terms themselves; those that are stay, and are met misspelled too. Weights are
-    log odds; a misspelling starts from a little evidence for abuse, which clean texts that hold it, or words that begin
-    alike, soon outweigh.
+    Terms are words and word stems whose share of toxic texts can't be chance over all terms tried; as many as the sample
+    gives. A stem stands for the words it begins that are no terms themselves; those that are stay. Words and stems
+    are met misspelled too. Weights are log odds; a misspelt word starts from a little evidence for abuse, which clean texts
+    that hold it, or (where it begins like the term) words that begin alike, soon outweigh; a misspelt stem, which
+    stands for many words, starts from none. Terms that tie are all taken, in order of gain, then name.
     Without labels, or with labels of one kind only, the lexicon is empty and scores are the share of toxic
     labels (0 if there are none). Null labels, ids and texts, and labels of no document, are ignored.
     """
@@ -302,7 +340,6 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
                 if len(term) > k:
                     best_word[term[:k] + "*"] = max(best_word.get(term[:k] + "*", 0), t)
     kept: list[str] = []
-    free = 0
     counts: dict[str, tuple[int, int]] = {}
     for term, t, c in sorted(strong, key=lambda x: (-round(gain(x[1], x[2]), 6), x[0].endswith("*"), -len(x[0]), x[0])):
         stem = term.endswith("*")
@@ -312,19 +349,15 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
         under = any(k.endswith("*") and bare.startswith(k[:-1]) for k in kept)
         if stem and (under or any(k.endswith("*") and k.startswith(bare) for k in kept)):
             continue
-        if not under:  # words under a stem come on top, for only words may be misspelled
-            if free >= fit.most_terms:
-                continue
-            free += 1
         kept.append(term)
         counts[term] = (t, c)
-    begins = {t: t[: 4 if len(t) < 8 else 6] + "*" for t in kept if not t.endswith("*")}
+    begins = {t: beginning(t) + "*" for t in kept if not t.endswith("*")}
     asked = rows.sparkSession.createDataFrame([(b,) for b in sorted(set(begins.values()))], "term string")
     clean = {r["term"]: r["clean"] for r in counted.join(F.broadcast(asked), "term").collect()}
-    return _weighed(rows, kept, nt, nc, {t: clean.get(b, 0) - counts[t][1] for t, b in begins.items()})
+    return _weighed(rows, kept, nt, nc, {t: clean.get(b, 0) - counts[t][1] for t, b in begins.items()}, fit.min_precision)
 
 
-def _weighed(rows: DataFrame, terms: list[str], nt: int, nc: int, alike: dict[str, int]) -> Lexicon:
+def _weighed(rows: DataFrame, terms: list[str], nt: int, nc: int, alike: dict[str, int], least: float) -> Lexicon:
     """alike: in how many clean texts a word begins like the term; where such words are usual, a near match is no misspelling."""
     plain = Lexicon(terms, {}, 0.0)
 
@@ -334,32 +367,33 @@ def _weighed(rows: DataFrame, terms: list[str], nt: int, nc: int, alike: dict[st
         for b in batches:
             for text, label in zip(as_texts(b.column(0)), b.column(1).to_pylist(), strict=True):
                 found = scorer.found(text)
-                for (term, edits), _ in found.items():
-                    seen[(term, edits, label)] += 1
+                for term, how in found:
+                    seen[(term, how, label)] += 1
                 if not found:
                     seen[("", 0, label)] += 1
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen], type=pa.int64()), pa.array([k[2] for k in seen], type=pa.int64()), pa.array(list(seen.values()), type=pa.int64())], names=["term", "edits", "label", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen], type=pa.int64()), pa.array([k[2] for k in seen], type=pa.int64()), pa.array(list(seen.values()), type=pa.int64())], names=["term", "how", "label", "n"])
 
-    got = rows.mapInArrow(count, "term string, edits long, label long, n long").groupBy("term", "edits", "label").agg(F.sum("n").alias("n")).collect()
-    n = {(r["term"], r["edits"], r["label"]): r["n"] for r in got}
-    of = lambda term, edits, label: n.get((term, edits, label), 0)
+    got = rows.mapInArrow(count, "term string, how long, label long, n long").groupBy("term", "how", "label").agg(F.sum("n").alias("n")).collect()
+    n = {(r["term"], r["how"], r["label"]): r["n"] for r in got}
+    of = lambda term, how, label: n.get((term, how, label), 0)
     prior = math.log(nt / nc)
     weights = {}
     for term in terms:
-        for edits in (0, 1):
-            t, c = of(term, edits, 1), of(term, edits, 0)
-            start = (0.5, 0.05) if edits == 0 else (1.0, 0.1 + alike.get(term, 0))
+        for how in KINDS:
+            t, c = of(term, how, 1), of(term, how, 0)
+            start = (0.5, 0.05) if how == 0 else (0.5, 1.0) if term.endswith("*") else (1.0, 0.1 + alike.get(term, 0) * (how == 1) + 0.2 * (how == 3))
             gained = math.log((t + start[0]) / nt) - math.log((c + start[1]) / nc)
-            weights[term, edits] = gained if gained + prior > 0 else 0.0  # what alone would not tell abuse tells nothing
+            sure = how == 0 or t >= least * (t + c)  # a misspelling must tell as much as a term
+            weights[term, how] = gained if gained + prior > 0 and sure else 0.0  # what alone would not tell abuse tells nothing
     bias = math.log((of("", 0, 1) + 0.5) / (of("", 0, 0) + 0.5))
     return Lexicon(terms, weights, bias, prior)
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """df with a score between 0 and 1 for each whole text (null: empty). The lexicon is bounded by Fit.most_terms.
+    """df with a score between 0 and 1 for each whole text (null: empty). The lexicon is bounded by the sample it is learned from.
 
-    Repeated rows score alike, an empty table stays empty, columns pass through; one named like the score is replaced.
+    A text is read word by word, however long; words over LONGEST characters are matched anew each time. Repeated rows score alike, an empty table stays empty, columns pass through; one named like the score is replaced.
     """
 
     def make():
@@ -370,7 +404,6 @@ def score(df: DataFrame, lexicon: Lexicon, text: str = "text", keep: list[str] |
 
 
 def op5_levenshtein_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, learn(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
