@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 from struct import pack as _pack
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismark.llm.common import as_bytes, field, small_batches, table
+from prismark.llm.common import LONGEST, as_bytes, field, pieces, table
 
 
 class WordTokenizer:
@@ -24,7 +24,7 @@ class WordTokenizer:
 
     Text between ASCII white spaces stands alone, so it is looked up whole. What is new and plain (printable,
     below U+0250, where NFC changes nothing) is cut by the file's own pattern and its words go to the file's
-    model; all else goes through the library's whole encode().
+    model; all else goes through the library's whole encode(). Up to `most` words of up to LONGEST bytes are kept.
     """
 
     PLAIN = re.compile(r"[!-~¡-įı-ɏ]+")
@@ -53,7 +53,9 @@ class WordTokenizer:
                     self.words.clear()
                 key = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
                 got = [t.id for t in self.model.tokenize(key)]
-                ids = self.words[w] = _pack(f"<{len(got)}I", *got)
+                ids = _pack(f"<{len(got)}I", *got)
+                if len(w) <= LONGEST:
+                    self.words[w] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -74,7 +76,9 @@ class WordTokenizer:
                 if x is None:
                     x = self.known.get(chunks[i])
                     if x is None:
-                        x = self.known[chunks[i]] = self._new(chunks[i])
+                        x = self._new(chunks[i])
+                        if len(chunks[i]) <= LONGEST:
+                            self.known[chunks[i]] = x
                     ids[i] = x
         return b"".join(ids)
 
@@ -95,24 +99,32 @@ class Limits:
 
 @dataclass
 class Item:
-    """What is left of one example: `at` tokens of it are placed already. loss: loss-bearing tokens of a slice."""
+    """What is left of one example: `at` of its `size` tokens are placed already; its first `free` tokens bear no loss."""
 
     key: int
     size: int
+    free: int = 0
     at: int = 0
 
 
-def pack_items(items: list[Item], limits: Limits, loss: Callable[[int, int, int], int], last: bool) -> Iterator[list[tuple[Item, int, int]]]:
+def pack_items(items: list[Item], limits: Limits, last: bool) -> Iterator[list[tuple[Item, int, int]]]:
     """Sequences, each a list of (item, start, length). What an unfinished sequence would hold stays in items unless last.
 
     One sequence is open at a time. Demands are vectors (tokens, one segment, loss-bearing tokens) as parts of the
     limits; of the items that fit whole, the one whose vector has the largest dot product with what is left goes in.
-    When none fits whole, the longest item is cut so that it fills the sequence exactly. loss(key, start, length)
-    counts the loss-bearing tokens of a slice.
+    When none fits whole, the item of which most fits is cut there; of several, the one whose cut bears most loss, so
+    that prompts are left for later. Ties go to the item that came first. Where
+    nothing more fits into a sequence that isn't full, it is cut to a multiple of SHORT tokens, and what follows stays an item.
     """
     cap = np.array([limits.tokens, limits.segments, limits.loss], dtype=float)
     size = np.array([i.size - i.at for i in items], dtype=np.int64)
-    bears = np.array([loss(i.key, i.at, i.size - i.at) for i in items], dtype=np.int64)
+    free = np.array([max(0, i.free - i.at) for i in items], dtype=np.int64)
+    at = {i.key: k for k, i in enumerate(items)}
+
+    def put(k: int, n: int) -> None:
+        items[k].at += n
+        size[k] -= n
+
     while True:
         left = cap.copy()
         row: list[tuple[Item, int, int]] = []
@@ -120,35 +132,47 @@ def pack_items(items: list[Item], limits: Limits, loss: Callable[[int, int, int]
             break
         while left[0] >= 1 and left[1] >= 1 and size.any():
             rest = left / cap
+            bears = np.maximum(size - free, 0)
             score = (size / cap[0]) * rest[0] + rest[1] / cap[1] + (bears / cap[2]) * rest[2]
             score[(size == 0) | (size > left[0]) | (bears > left[2])] = -1
             k = int(score.argmax())
             n = int(size[k])
             if score[k] < 0:
-                k = int(size.argmax())
-                n = int(min(size[k], left[0]))
-                while n and loss(items[k].key, items[k].at, n) > left[2]:  # as much of it as its loss-bearing tokens allow
-                    n -= max(1, loss(items[k].key, items[k].at, n) - int(left[2]))
+                fits = np.minimum(np.minimum(size, int(left[0])), free + int(left[2]))
+                n = int(fits.max())
+                k = int(np.where(fits == n, np.maximum(fits - free, 0), -1).argmax())
                 if not n:
                     break
-            item = items[k]
-            b = loss(item.key, item.at, n)
-            row.append((item, item.at, n))
-            item.at += n
-            size[k] -= n
-            bears[k] = loss(item.key, item.at, int(size[k]))
-            left -= (n, 1, b)
+            put(k, n)
+            row.append((items[k], items[k].at - n, n))
+            left -= (n, 1, max(0, n - int(free[k])))
+            free[k] = max(0, items[k].free - items[k].at)
         if not row:
             break
+        total = sum(n for *_, n in row)
+        back = total % SHORT if SHORT <= total < limits.tokens else 0
+        while back:  # a short sequence's odd end goes back, for others to fill
+            item, start, n = row.pop()
+            less = min(n, back)
+            k = at[item.key]
+            put(k, -less)
+            free[k] = max(0, item.free - item.at)
+            back -= less
+            if less < n:
+                row.append((item, start, n - less))
         yield row
     items[:] = [i for i, n in zip(items, size, strict=True) if n]
 
 
-def halves(row: list[tuple[Item, int, int]], tokens: int, least: int = 64) -> Iterator[list[tuple[Item, int, int]]]:
-    """The last, short sequence of a task as sequences whose lengths are powers of two (no padding there), and a rest."""
+#: Short sequences are of this many tokens, or a multiple of it, unless fewer are left.
+SHORT = 64
+
+
+def halves(row: list[tuple[Item, int, int]]) -> Iterator[list[tuple[Item, int, int]]]:
+    """A sequence that no more fits in, as sequences whose lengths are powers of two (no padding there)."""
     total = sum(n for *_, n in row)
     while total:
-        part = total if total <= least or total == tokens else 1 << (total.bit_length() - 1)
+        part = 1 << (total.bit_length() - 1)
         out, room = [], part
         while room:
             item, start, n = row[0]
@@ -163,16 +187,18 @@ def halves(row: list[tuple[Item, int, int]], tokens: int, least: int = 64) -> It
 PIECES = [field("start", "long"), field("length", "long"), field("ids", "binary"), field("doc_tokens", "long"), field("sequence_id", "long"), field("offset", "long")]
 
 
-def pack(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", end_id: int = 2, limits: Limits = Limits(), pool_tokens: int = 1 << 20, pool_items: int = 2048, loss_from: str | None = None) -> DataFrame:
+def pack(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", end_id: int = 2, limits: Limits = Limits(), pool_tokens: int = 1 << 20, pool_items: int = 2048, loss_from: str | None = None, prompt: float = 0.0) -> DataFrame:
     """One row for each piece: id_col, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Texts are tokenised with the file at `path` (on every executor), end_id follows each. Every task packs what it
     reads, from a pool of bounded tokens and examples, with no shuffle; sequence_id is the task's number times 2^32
-    plus a count, so a task that runs again gives the same rows. loss_from names an integer column: tokens before
-    that place bear no loss (null or no column: all bear loss).
+    plus a count, so a task that runs again gives the same rows. Tokens before the place in the integer column
+    loss_from bear no loss (null: all do); without such a column, the first `prompt` of a text's tokens, rounded down.
+    A sequence that nothing more fits in goes out in lengths of powers of two.
 
     Null and empty texts are the end id alone. Texts of any length are cut into as many pieces as it takes. Ids may
-    repeat or be null; pieces keep them. An empty table gives none. Other columns are left out.
+    repeat or be null; pieces keep them. Examples that tie go in as they came. An empty table gives none. Other columns
+    are left out.
     """
     read = [id_col, text] + ([loss_from] if loss_from else [])
     src = df.select(*[F.col(f"`{c}`") for c in read])
@@ -182,58 +208,53 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, base, count = tokenizer(path), TaskContext.get().partitionId() << 32, 0
-        names: dict[int, object] = {}
-        texts: dict[int, bytes] = {}
-        free: dict[int, int] = {}
+        held: dict[int, tuple[object, bytes]] = {}  # key -> (id, token ids) of the items
         items: list[Item] = []
         seen = held_tokens = 0
 
-        def bears(key: int, start: int, n: int) -> int:
-            return max(0, start + n - max(start, free[key])) if key in free else n
-
         def emit(rows: Iterator[list[tuple[Item, int, int]]]) -> Iterator[pa.RecordBatch]:
             nonlocal count
             out: list[tuple] = []
-            for row in rows:
-                offset = 0
-                for item, start, n in row:
-                    out.append((names[item.key], start, n, texts[item.key][4 * start : 4 * (start + n)], item.size, base + count, offset))
-                    offset += n
-                count += 1
+            for made in rows:
+                for row in halves(made) if sum(n for *_, n in made) < limits.tokens else [made]:
+                    offset = 0
+                    for item, start, n in row:
+                        name, ids = held[item.key]
+                        out.append((name, start, n, ids[4 * start : 4 * (start + n)], item.size, base + count, offset))
+                        offset += n
+                    count += 1
             if out:
                 kinds = [key_type, *(pa.binary() if f.name == "ids" else pa.int64() for f in PIECES)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.name for f in schema])
-            alive = {i.key for i in items}
-            for held in (names, texts, free):
-                for k in held.keys() - alive:
-                    del held[k]
-
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            starts = batch.column(2).to_pylist() if loss_from else [0] * len(ids)
-            for name, t, s in zip(ids, as_bytes(batch.column(1)), starts, strict=True):
-                texts[seen] = tok.encode(t) + tail
-                names[seen] = name
-                if s:
-                    free[seen] = s
-                items.append(Item(seen, len(texts[seen]) // 4))
+            for k in held.keys() - {i.key for i in items}:
+                del held[k]
+
+        for batch in (part for whole in batches for part in pieces(whole, [1])):
+            prompts = batch.column(2).to_pylist() if loss_from else [None] * batch.num_rows
+            for name, t, free in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), prompts, strict=True):
+                held[seen] = name, tok.encode(t) + tail
+                size = len(held[seen][1]) // 4
+                items.append(Item(seen, size, (free or 0) if loss_from else int(prompt * (size - 1))))
                 seen += 1
                 held_tokens += items[-1].size
                 if len(items) >= pool_items or held_tokens >= pool_tokens:
-                    yield from emit(pack_items(items, limits, bears, False))
+                    yield from emit(pack_items(items, limits, False))
                     held_tokens = sum(i.size - i.at for i in items)
-        rest = list(pack_items(items, limits, bears, True))
-        short = [r for r in rest if sum(n for *_, n in r) < limits.tokens]
-        yield from emit(iter([r for r in rest if r not in short] + [h for r in short for h in halves(r, limits.tokens)]))
+        yield from emit(pack_items(items, limits, True))
 
     return src.mapInArrow(run, schema)
 
 
+#: Of a sequence of 4096 tokens, 256 at least are no answers, and it mixes 32 examples at most.
+QUERY_LIMITS = Limits(tokens=4096, segments=32, loss=3840)
+QUERY_PROMPT = 0.25
+
+
 def op8_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as instruction data: the first quarter of a text's tokens is its prompt, what follows the answer that bears loss."""
     import public_tokenizers
 
-    small_batches(spark)
-    return digests(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return digests(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limits=QUERY_LIMITS, prompt=QUERY_PROMPT))
 
 
 def digests(pieces: DataFrame) -> DataFrame:
