@@ -16,6 +16,7 @@ QUERIES = {
     "op9_prefix_bpe": bpe.op9_prefix_bpe,
     "op10_reply_trees": chat.op10_reply_trees,
     "rule_ablations": rules.rule_ablations,
+    "reply_tree_branches": chat.reply_tree_branches,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op4_byte_balanced_shards": sharding.OP4_SQL,
     "op10_reply_trees": chat.OP10_SQL,
     "rule_ablations": rules.ABLATION_SQL,
+    "reply_tree_branches": chat.BRANCHES_SQL,
 }
