@@ -38,6 +38,10 @@ class Disclosure:
     min_chars: int = 3
 
 
+#: Up to so many terms (a few hundred kB) are sent to all tasks.
+FEW = 10_000
+
+
 def _luhn(digits: Column) -> Column:
     """Whether the check digit is right: from the end, every second digit doubled, its digits added."""
     each = F.regexp_extract_all(F.reverse(digits), F.lit("[0-9]"), F.lit(0))
@@ -125,63 +129,140 @@ def term_of(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]++|[^\p{L}\p{N}]++$", ""))
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+#: What lies between two terms: a run without letters and figures that holds white space. A run is tried at its start only.
+BETWEEN = r"(?<![^A-Za-z0-9\p{L}\p{N}])[^A-Za-z0-9\x20\x09-\x0D\p{L}\p{N}]*+[\x20\x09-\x0D][^A-Za-z0-9\p{L}\p{N}]*+"
+
+
+def terms_in(text: Column) -> Column:
+    """The different term_of() of a text's words, by one split of the whole text; also the empty term."""
+    padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
+    return F.array_distinct(F.transform(F.array_distinct(F.split(padded, BETWEEN, -1)), F.lower))
 
 
 def _word_rows(held: DataFrame) -> DataFrame:
     """(key, at, start, end, term) of every word of the texts in held(key, t): start and end in code points."""
-    pattern = r"[^\x20\x09-\x0D]++"
-    spans = held.select("key", F.posexplode(spans_of(F.col("t"), pattern, "word")).alias("at", "s"))
+    spans = held.select("key", F.posexplode(spans_of(F.col("t"), WORD, "word")).alias("at", "s"))
     return spans.select("key", "at", F.col("s.start").alias("start"), F.col("s.end").alias("end"), term_of(F.col("s.value")).alias("term"))
 
 
-def disclosures(held: DataFrame, n_docs: int, docs_terms: Callable[[DataFrame], DataFrame], rule: Disclosure) -> DataFrame:
-    """(key, start, end, action) of the words to generalise or remove in the texts held(key, t, spans, n), one row
-    for each different text with entities and n, how often it occurs.
+WORD = r"[^\x20\x09-\x0D]++"
+
+
+def word_places(starts: Column, spans: Column) -> Column:
+    """For each of spans (start, end), sorted by start: (first, last), the numbers of the words it covers, of which starts has the places.
+
+    The words' places and both ends of all spans are sorted together (two sorted lists, so one merge): as many words
+    begin before an end as its place in that list, less the ends before it. So the time is that of a merge, however
+    many spans a text has. Spans must begin and end inside words.
+    """
+
+    def at(place: Column, kind: int, k: Column) -> Column:
+        return F.struct(place.cast("long").alias("place"), F.lit(kind).alias("kind"), k.cast("int").alias("k"))
+
+    def ends(x: Column) -> Column:  # words before ends at the same place; an end's own last character counts
+        first, last = F.transform(x["spans"], lambda s, k: at(s["start"], 1, k)), F.transform(x["spans"], lambda s, k: at(s["end"] - 1, 2, k))
+        return F.struct(F.transform(x["starts"], lambda p, k: at(p, 0, k)).alias("words"), F.transform(F.array_sort(F.concat(first, last)), lambda e, n: F.struct(e["place"].alias("place"), e["kind"].alias("kind"), e["k"].alias("k"), n.alias("n"))).alias("ends"))
+
+    def merged(x: Column) -> Column:
+        wide = F.transform(x["words"], lambda w: F.struct(w["place"].alias("place"), w["kind"].alias("kind"), w["k"].alias("k"), F.lit(0).alias("n")))
+        return F.array_sort(F.concat(wide, x["ends"]))
+
+    def counted(all_: Column) -> Column:
+        placed = F.transform(all_, lambda e, p: F.struct(e["k"].alias("k"), e["kind"].alias("kind"), (p - e["n"] - 1).cast("int").alias("word")))
+        return F.array_sort(F.filter(placed, lambda e: e["kind"] > 0))
+
+    def paired(e: Column) -> Column:
+        return F.transform(F.filter(e, lambda x: x["kind"] == 1), lambda x, k: F.struct(x["word"].alias("first"), F.get(e, 2 * k + 1)["word"].alias("last")))
+
+    return let(let(let(F.struct(starts.alias("starts"), spans.alias("spans")), ends), merged), lambda all_: let(counted(all_), paired))
+
+
+def surroundings(held: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(key, n, entity, first, at, term) of the words within `window` words of an entity, and (key, at) of the words that entities
+    cover, for the texts held(key, t, spans, n). Only these words become rows; all others stay in their text's row."""
+
+    def of_words(w: Column) -> Column:
+        return F.struct(F.transform(w, lambda x: x["start"]).alias("starts"), F.transform(w, lambda x: x["value"]).alias("values"))
+
+    def one(x: Column) -> Column:
+        near = F.concat(*[F.sequence(F.lit(a), F.lit(b)) for a, b in ((-window, -1), (1, window))])
+
+        def around(e: Column, c: Column) -> Column:
+            places = F.transform(near, lambda d: F.when(d < 0, c["first"] + d).otherwise(c["last"] + d))
+            return F.filter(F.transform(places, lambda p: F.struct(p.alias("at"), F.get(x["values"], p).alias("word"))), lambda w: w["word"].isNotNull())
+
+        return F.zip_with(x["spans"], x["covers"], lambda e, c: F.struct(e["entity"].alias("entity"), c["first"].alias("first"), c["last"].alias("last"), around(e, c).alias("near")))
+
+    def placed(x: Column) -> Column:
+        return let(F.struct(x["spans"].alias("spans"), x["w"]["values"].alias("values"), word_places(x["w"]["starts"], x["spans"]).alias("covers")), one)
+
+    named = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), entity(s).alias("entity"))))
+    words = let(spans_of(F.col("t"), WORD, "word"), of_words)
+    ents = cut(held.select("key", "n", F.explode(let(F.struct(named.alias("spans"), words.alias("w")), placed)).alias("e")).select("key", "n", "e.*"), "entities")
+    covered = ents.select("key", F.explode(F.sequence("first", "last")).alias("at")).distinct()
+    near = ents.select("key", "n", "entity", "first", F.explode("near").alias("w")).select("key", "n", "entity", "first", F.col("w.at").alias("at"), term_of(F.col("w.word")).alias("term"))
+    return near, covered
+
+
+def disclosures(held: DataFrame, n_docs: int, docs_terms: Callable[[DataFrame], DataFrame], rule: Disclosure, few: int = FEW) -> DataFrame:
+    """(key, extra) of the words to generalise or remove in the texts held(key, t, spans, n), one row for each different text
+    with entities and n, how often it occurs; extra lists (start, end, action, term).
 
     For an entity e and a term t near it: strength = PMI(e; t) / -log2 P(e) = 1 + log2(co / df(t)) / log2(N / df(e)), of
     N documents, df those that hold them, co those that hold t near e. Near means within rule.window words.
     """
-    words = cut(_word_rows(held), "words")
-    ents = held.select("key", "n", F.explode("spans").alias("s")).select("key", "n", entity(F.col("s")).alias("entity"), F.col("s.start").alias("s"), F.col("s.end").alias("e"))
-    # the words of an entity itself, as the range of places it covers
-    covered = ents.join(words, "key").where("start < e and end > s").groupBy("key", "n", "entity", "s").agg(F.min("at").alias("a"), F.max("at").alias("b"))
-    near = covered.select("key", "n", "entity", "s", "a", "b", F.explode(F.concat(F.sequence(F.col("a") - rule.window, F.col("a") - 1), F.sequence(F.col("b") + 1, F.col("b") + rule.window))).alias("at"))
-    clean = words.join(covered.select("key", "a", "b"), (words["key"] == covered["key"]) & words["at"].between(F.col("a"), F.col("b")), "left_anti")
-    around = near.join(clean.select("key", "at", "term"), ["key", "at"]).where(F.length("term") >= rule.min_chars)
-    context = around.groupBy("key", "n", "entity", "s").agg(F.xxhash64(F.array_sort(F.collect_set("term"))).alias("context"), F.collect_set("term").alias("terms"))  # 2 x window terms at most
-    pairs = context.select("key", "n", "entity", "context", F.explode("terms").alias("term"))
-    seen = pairs.groupBy("entity", "term", "key", "n").agg(F.collect_set("context").alias("c"))
-    strong = seen.select("entity", "term", "n", F.explode("c").alias("context")).groupBy("entity", "term", "context").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= rule.min_contexts)
-    counts = seen.groupBy("entity", "term").agg(F.sum("n").alias("co"))
-    df_e = held.select("key", "n", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).groupBy("entity").agg(F.sum("n").alias("df_e"))
+    near, covered = surroundings(held, rule.window)
+    around = near.where(F.length("term") >= rule.min_chars).join(covered, ["key", "at"], "left_anti")
+    context = around.groupBy("key", "n", "entity", "first").agg(F.array_sort(F.collect_set("term")).alias("terms"))  # 2 x window terms at most
+    pairs = context.select("key", "n", "entity", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term"))
+    # one row for each text that holds the term near the entity in a context; texts are counted once, contexts over all texts
+    seen = cut(pairs.distinct(), "near")
+    strong = seen.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= rule.min_contexts).select("entity", "term")
+    counts = seen.select("entity", "term", "key", "n").distinct().groupBy("entity", "term").agg(F.sum("n").alias("co"))
+    df_e = held.select("n", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).groupBy("entity").agg(F.sum("n").alias("df_e"))
 
     def strength(df_t: str) -> Column:
         return F.round(1 + F.log2(F.col("co") / F.col(df_t)) / F.greatest(F.log2(F.lit(float(max(2, n_docs))) / F.col("df_e")), F.lit(1e-9)), 9)
 
     # the texts at hand alone bound df(t) from below, hence strength from above: common words need not be counted in all others
-    here = words.select("key", "term").distinct().join(held.select("key", "n"), "key").groupBy("term").agg(F.sum("n").alias("df_here"))
-    open_pairs = strong.join(counts, ["entity", "term"]).join(df_e, "entity").join(here, "term")
-    asked = cut(open_pairs.where(strength("df_here") >= rule.generalise).select("entity", "term", "co", "df_e"), "asked")
+    open_pairs = cut(strong.join(counts, ["entity", "term"]).join(df_e, "entity"), "open")
+    here = count_terms(held.select(F.col("t").alias("text"), "n"), open_pairs.select("term").distinct(), few).withColumnRenamed("df_t", "df_here")
+    asked = cut(open_pairs.join(here, "term").where(strength("df_here") >= rule.generalise).select("entity", "term", "co", "df_e"), "asked")
     df_t = docs_terms(asked.select("term").distinct())
     told = asked.join(df_t, "term").withColumn("strength", strength("df_t")).where(F.col("strength") >= rule.generalise)
     action = F.when(F.col("strength") >= rule.remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    told = cut(told.select("entity", "term", "strength", action.alias("action")), "told")
+    told = cut(told.select("entity", "term", action.alias("action")), "told")
     in_text = held.select("key", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).join(told, "entity").groupBy("key", "term").agg(F.max("action").alias("action"))  # remove sorts after generalise
-    return in_text.join(clean, ["key", "term"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action", "term"))).alias("extra"))
+    in_text = cut(in_text, "in_text")
+    # only texts that hold what is told are taken apart word by word
+    open_texts = held.join(in_text.select("key").distinct(), "key", "left_semi")
+    words = _word_rows(open_texts).join(in_text, ["key", "term"]).join(covered, ["key", "at"], "left_anti")
+    return words.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action", "term"))).alias("extra"))
+
+
+def count_terms(docs: DataFrame, asked: DataFrame, few: int = FEW) -> DataFrame:
+    """(term, df_t): how many of docs(text, n), n times each, hold each of the terms asked for. Null texts hold none.
+
+    Up to `few` terms go to all tasks, so that no other word is shuffled; more are met after words have been counted.
+    The counts are the same either way."""
+    asked = cut(asked, "terms")
+    each = docs.select("n", F.explode(terms_in(F.col("text"))).alias("term"))
+    if asked.count() <= few:
+        return each.join(F.broadcast(asked), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df_t"))
+    return each.groupBy("term").agg(F.sum("n").alias("df_t")).join(asked, "term", "left_semi")
 
 
-def find(df: DataFrame, text: str = "text", rule: Disclosure = Disclosure()) -> DataFrame:
+def find(df: DataFrame, text: str = "text", rule: Disclosure = Disclosure(), few: int = FEW) -> DataFrame:
     """df with base_spans (kind, start, end, value) and extra (start, end, action, term), places in code points.
 
     base_spans are e-mail addresses, IP addresses, card and phone numbers. extra are words of texts with such an
     entity that give the entity away, by how they occur with it over the whole corpus (Disclosure).
 
-    Equal texts are met once, with their count, so that copies fill no task. Only texts with entities are taken apart
-    word by word; the other texts are only counted for the terms in question. Null and empty texts have no
-    spans; very long texts are one row each; repeated rows have equal spans; an empty table stays empty. Columns of
-    df pass through; base_spans, extra and names that start with __ are replaced.
+    Equal texts are met once, with their count, so that copies fill no task. In texts with entities only the words near
+    these become rows; all texts are counted for the terms in question (count_terms; `few` chooses its plan only). Null
+    and empty texts have no spans; a very long text is one row, met in time in proportion to its length, however many
+    entities it holds; terms that tie at a threshold are all taken; repeated rows have equal spans; an empty table
+    stays empty. Columns of df pass through; base_spans, extra and names that start with __ are replaced.
     """
     df = df.drop("base_spans", "extra", "__key")
     based = with_base_spans(df, text).withColumn("__key", F.when(F.size("base_spans") > 0, F.sha2(F.col(text), 256)))
@@ -191,29 +272,31 @@ def find(df: DataFrame, text: str = "text", rule: Disclosure = Disclosure()) ->
 
     def docs_terms(asked: DataFrame) -> DataFrame:
         """In how many of all documents each term asked for occurs."""
-        asked = cut(asked, "terms")
-        each = df.select(F.explode(F.array_distinct(F.transform(_words(F.coalesce(F.col(text), F.lit(""))), term_of))).alias("term"))
-        few = asked.count() <= 10_000  # then the list goes to all tasks, and no word is shuffled; else words are counted first
-        if few:
-            return each.join(F.broadcast(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-        return each.groupBy("term").agg(F.count("*").alias("df_t")).join(asked, "term", "left_semi")
-
-    extra = disclosures(held, n_docs, docs_terms, rule)
+        return count_terms(df.select(F.col(text).alias("text"), F.lit(1).cast("long").alias("n")), asked, few)
+
+    extra = disclosures(held, n_docs, docs_terms, rule, few)
     # texts without an entity are dealt out by a hash of their own, not all to one task
     keyed = based.withColumn("__key", F.coalesce("__key", F.concat(F.lit("-"), F.xxhash64(F.col(text)).cast("string"), F.monotonically_increasing_id().cast("string"))))
     out = keyed.join(extra.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
     return out.withColumn("extra", F.coalesce("extra", F.array().cast("array<struct<start:bigint,end:bigint,action:string,term:string>>")))
 
 
+def kind_of(word: Column) -> Column:
+    """The class a word is generalised to: figures, letters with figures, a capitalised word, any other."""
+    figures, letters = word.rlike(r"\p{N}"), word.rlike(r"\p{L}")
+    return F.when(figures & ~letters, "[NUMBER]").when(figures, "[CODE]").when(word.rlike(r"^[^\p{L}]*\p{Lu}"), "[NAME]").otherwise("[WORD]")
+
+
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
-    """find()'s rows with the text cleaned: entities become [EMAIL], [IP], [CARD] or [PHONE], terms [TERM] or nothing.
+    """find()'s rows with the text cleaned: entities become [EMAIL], [IP], [CARD] or [PHONE]; terms to generalise become what
+    kind of word they are ([NUMBER], [CODE], [NAME] or [WORD], see kind_of), terms to remove nothing.
 
     Overlapping spans are replaced once, from the leftmost, the longest first. Null texts stay null. base_spans
     and extra are dropped.
     """
     marks = F.concat(
         F.transform("base_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mark"))),
-        F.transform("extra", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), F.when(s["action"] == "remove", F.lit("")).otherwise(F.lit("[TERM]")).alias("mark"))),
+        F.transform("extra", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), F.when(s["action"] == "remove", F.lit("")).otherwise(kind_of(F.substring(F.col(text), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))).alias("mark"))),
     )
     t = F.col(text)
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
