@@ -1,7 +1,7 @@
 """The corpus pipeline against a plain version of each stage, and the registered queries."""
 
-import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import __spark_entry__ as entry
@@ -18,15 +18,45 @@ def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "simhash", "pii", "packing"]
 
 
+def plain_kept(text):
+    """The base and current rules, from their definitions and plain measurements."""
+    import test_operators as plain
+
+    t = text or ""
+    n, chars, symbols, dups, repeated = plain.plain_measures(t)
+    lines = sum(bool(plain.WORD.search(x)) for x in t.split("\n"))
+    distinct = len(set(plain.WORD.findall(t)))
+    poor = n < 10 or 100 * repeated > 20 * n or 4 * symbols > n or chars < 2 * n or chars > 20 * n or dups >= 4 and 10 * dups > 5 * lines or n >= 100 and 20 * distinct < n
+    return not poor
+
+
+def plain_redacted(text, terms):
+    """Entities and terms replaced from the left, the longest first."""
+    import test_operators as plain
+
+    marks = sorted([(a, -b, f"[{k.upper()}]") for k, a, b in plain.plain_pii(text)] + [(a, -b, m) for a, b, m in terms])
+    out, at = "", 0
+    for a, b, mark in marks:
+        if a >= at:
+            out, at = out + text[at:a] + mark, -b
+    return out + text[at:]
+
+
+def kind(word):
+    figures, letters = any(c.isnumeric() for c in word), any(c.isalpha() for c in word)
+    first = next((c for c in word if c.isalpha()), "")
+    return "[NUMBER]" if figures and not letters else "[CODE]" if figures else "[NAME]" if first.isupper() else "[WORD]"
+
+
 def test_stages(spark):
     import test_operators as plain
 
-    from prismark.llm import packing, rules, toxicity
+    from prismark.llm import packing, pii, toxicity
     from prismark.llm.common import cut, table
 
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents")
-    scorer = toxicity.Scorer(toxicity.learn(docs, table(spark, sf, "labels")))
+    lexicon = toxicity.learn(docs, table(spark, sf, "labels"))
     kept = {r.doc_id: r.text for r in docs.collect()}
     steps = []
     for name, stage in corpus_pipeline.STAGES:
@@ -35,38 +65,36 @@ def test_stages(spark):
         if name != "packing":
             assert made.columns == list(corpus_pipeline.DOCUMENT) and made.count() == len(steps[-1][1])
             docs = made
-    kept = {i: t for i, t in kept.items() if scorer.score(t or "") < 0.5}
+    ever = {w for w in {w for t in kept.values() for w in (t or "").lower().split()} if plain.plain_match(w.strip(toxicity.EDGE), lexicon.terms)}
+    kept = {i: t for i, t in kept.items() if plain.plain_score(lexicon, t or "", ever) < 0.5}
     assert steps[0][1] == kept
-    mask = rules.BASE.mask | rules.STRICT.mask
-
-    def bits(t):
-        m = dict(zip(rules.MEASURES, rules.measure((t or "").encode())))
-        return sum(1 << b for b, cond in rules.RULES.values() if eval(cond, {}, m))
-
-    kept = {i: t for i, t in kept.items() if bits(t) & mask == 0}
+    kept = {i: t for i, t in kept.items() if plain_kept(t)}
     assert steps[1][1] == kept
     ids = sorted(kept)
     prints = [plain.plain_fingerprint(kept[i]) for i in ids]
     comp = plain.plain_components(ids, lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 3)
     kept = {i: kept[i] for i, c in zip(ids, comp) if i == c}
     assert steps[2][1] == kept
-    extra = plain.plain_disclosure(sorted(kept.items())) if False else {}
+    rule = pii.Disclosure()
+    rows = sorted((i, t or "") for i, t in kept.items())
+    spans, strong = plain.plain_disclosure(rows, rule), plain.plain_disclosure(rows, pii.Disclosure(generalise=rule.remove))
     clean = steps[3][1]
-    assert clean.keys() == kept.keys()
-    for i, t in kept.items():
-        if not plain.plain_pii(t):
-            assert clean[i] == t
-        else:
-            assert not any(t[a:b] in clean[i] for _, a, b in plain.plain_pii(t)) and re.search(r"\[(EMAIL|IP|CARD|PHONE)\]", clean[i])
+    assert clean == {i: plain_redacted(t, [(a, b, "" if (a, b) in strong[i] else kind(t[a:b])) for a, b in spans[i]]) for i, t in rows}
     tok = packing.WordTokenizer(plain.VOCAB8)
-    tokens = Counter()
+    ids = {i: tok.encode((t or "").encode()) + (2).to_bytes(4, "little") for i, t in clean.items()}
+    parts, sequences = defaultdict(list), defaultdict(list)
     for r in steps[4][1]:
-        tokens[r.doc_id] += r.length
-    assert tokens == {i: len(tok.encode((t or "").encode())) // 4 + 1 for i, t in clean.items()} and not extra
-
-
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) and r.doc_tokens == len(ids[r.doc_id]) // 4
+        parts[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert parts.keys() == ids.keys()
+    for held, whole in [(p, len(ids[i]) // 4) for i, p in parts.items()] + [(p, None) for p in sequences.values()]:
+        at = 0
+        for start, n in sorted(held):
+            assert start == at and n > 0
+            at += n
+        assert at == whole if whole else at <= 4096
+    assert Counter(map(tuple, corpus_pipeline.run(spark, sf).drop("sequence_id", "offset").groupBy("doc_id", "doc_tokens").agg({"length": "sum"}).collect())) == Counter((i, len(x) // 4, len(x) // 4) for i, x in ids.items())
 
 
 def test_stages_on_odd_rows(spark, tmp_path):
@@ -104,3 +132,26 @@ def test_distinct_texts_under_one_id_stay(spark):
     got = corpus_pipeline.drop_copies(spark, docs, SF).collect()
     named = Counter((r.doc_id, r.text) for r in got if r.text != a + " more")
     assert named == Counter([(3, a), (5, b), (8, c), (None, a)])
+
+
+def test_rows_that_tie_stay_the_same_way(spark):
+    """Texts of one id and one fingerprint: which of them stays does not hang on their order."""
+    rows = [(4, t, lang, None, 9) for t in ("a b c", "A B C", "a  b c", None, "") for lang in ("en", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = [corpus_pipeline.drop_copies(spark, spark.createDataFrame(r, schema).repartition(3), SF).collect() for r in (rows, rows[::-1])]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1])) and len(got[0]) == 2
+
+
+def test_terms_that_give_entities_away(spark):
+    import test_operators as plain
+
+    from prismark.llm import pii
+
+    rows = [(1, "mail bob@x.org is Johnny Zed, of Quux"), (2, "so Johnny Zed wrote bob@x.org yesterday again"), (3, "Johnny Zed (bob@x.org) said hi"), (4, "ann@y.org wrote of a12 and johnny"), (5, "of a12 (élan) 99 ann@y.org said élan 99"), (6, "99 or a12, élan said ann@y.org")]
+    rows += [(i, f"the mail is of {i}00 cats and so on, yesterday again said wrote") for i in range(10, 60)]
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.redact_private(spark, docs, SF).collect()}
+    rule = pii.Disclosure()
+    spans, strong = plain.plain_disclosure(rows, rule), plain.plain_disclosure(rows, pii.Disclosure(generalise=rule.remove))
+    want = {i: plain_redacted(t, [(a, b, "" if (a, b) in strong[i] else kind(t[a:b])) for a, b in spans[i]]) for i, t in rows}
+    assert got == {i: (t, len(t)) for i, t in want.items()} and any(strong.values())
