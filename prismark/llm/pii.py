@@ -224,9 +224,10 @@ def disclosures(held: DataFrame, n_docs: int, docs_terms: Callable[[DataFrame],
     def strength(df_t: str) -> Column:
         return F.round(1 + F.log2(F.col("co") / F.col(df_t)) / F.greatest(F.log2(F.lit(float(max(2, n_docs))) / F.col("df_e")), F.lit(1e-9)), 9)
 
-    # the texts at hand alone bound df(t) from below, hence strength from above: common words need not be counted in all others
+    # the texts at hand alone bound df(t) from below, hence strength from above: common words need not be counted in all others.
+    # Words are counted before they are joined: most open terms occur in many texts
     open_pairs = cut(strong.join(counts, ["entity", "term"]).join(df_e, "entity"), "open")
-    here = count_terms(held.select(F.col("t").alias("text"), "n"), open_pairs.select("term").distinct(), few).withColumnRenamed("df_t", "df_here")
+    here = count_terms(held.select(F.col("t").alias("text"), "n"), open_pairs.select("term").distinct(), -1).withColumnRenamed("df_t", "df_here")
     asked = cut(open_pairs.join(here, "term").where(strength("df_here") >= rule.generalise).select("entity", "term", "co", "df_e"), "asked")
     df_t = docs_terms(asked.select("term").distinct())
     told = asked.join(df_t, "term").withColumn("strength", strength("df_t")).where(F.col("strength") >= rule.generalise)
@@ -243,8 +244,8 @@ def disclosures(held: DataFrame, n_docs: int, docs_terms: Callable[[DataFrame],
 def count_terms(docs: DataFrame, asked: DataFrame, few: int = FEW) -> DataFrame:
     """(term, df_t): how many of docs(text, n), n times each, hold each of the terms asked for. Null texts hold none.
 
-    Up to `few` terms go to all tasks, so that no other word is shuffled; more are met after words have been counted.
-    The counts are the same either way."""
+    Up to `few` terms go to all tasks, so that no other word is shuffled; more are met after words have been counted
+    (combined before the shuffle). The counts are the same either way."""
     asked = cut(asked, "terms")
     each = docs.select("n", F.explode(terms_in(F.col("text"))).alias("term"))
     if asked.count() <= few:
