@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,7 @@ class Config:
     border: bool = True
     quality: Quality = Quality()
     floor: Floor = Floor()
+    area_minimum: float = 0.01
     views: int = 10
     alpha: float = 0.60
     beta: float = 0.40
@@ -96,8 +97,6 @@ KNOBS: dict[str, tuple[float, float]] = {"hard_min": (0.0, 1e6), "hard_max": (0.
 
 def apply_knobs(cfg: Config, knobs: dict[str, dict[str, float | None]]) -> Config:
     """cfg with rules changed by name: {rule: {hard_min | hard_max | z: value or None}}. Unknown rules and knobs are ignored."""
-    from dataclasses import replace
-
     def changed(rule):
         asked = {k: v for k, v in knobs.get(rule.name, {}).items() if k in KNOBS and hasattr(rule, k)}
         return replace(rule, **{k: None if v is None else min(max(float(v), KNOBS[k][0]), KNOBS[k][1]) for k, v in asked.items()})
@@ -107,3 +106,54 @@ def apply_knobs(cfg: Config, knobs: dict[str, dict[str, float | None]]) -> Confi
 
 def config_payload(cfg: Config) -> dict:
     return {r.name: {k: getattr(r, k) for k in KNOBS if hasattr(r, k)} for r in (*cfg.rules, *cfg.soft)}
+
+
+#: key, group, least, most, step of every knob (fixed values).
+KNOB_TABLE: tuple[tuple[str, str, float, float, float], ...] = (
+    ("blur_laplacian.hard_min_variance", "floor", 0.0, 50000.0, 100.0),
+    ("blur_tenengrad.hard_min_tenengrad", "floor", 0.0, 1000.0, 1.0),
+    ("vincents_artefacts.hard_max_fraction", "floor", 0.0, 1.0, 0.005),
+    ("vincents_motion_blur.hard_min_variance", "floor", 0.0, 50000.0, 10.0),
+    ("vincents_area.hard_min_area_fraction", "floor", 0.0, 1.0, 0.005),
+    ("blur_laplacian.outlier_z", "cutoff", 0.5, 10.0, 0.25),
+    ("blur_tenengrad.outlier_z", "cutoff", 0.5, 10.0, 0.25),
+    ("vincents_artefacts.outlier_z", "cutoff", 0.5, 10.0, 0.25),
+    ("vincents_motion_blur.outlier_z", "cutoff", 0.5, 10.0, 0.25),
+    ("vincents_area.outlier_z", "cutoff", 0.5, 10.0, 0.25),
+    ("vincents_artefacts.kernel_size", "param", 1, 40, 1),
+    ("blur_laplacian.stroke_width", "param", 1, 40, 1),
+    ("blur_tenengrad.stroke_width", "param", 1, 40, 1),
+    ("vincents_motion_blur.stroke_width", "param", 1, 40, 1),
+    ("vincents_motion_blur.softness", "param", 0.05, 1.0, 0.05),
+    ("vincents_area.softness", "param", 0.05, 1.0, 0.05),
+)
+
+
+def _knob(key: str) -> tuple[str, str]:
+    """(rule, field of ours) of a knob's key."""
+    rule, _, attr = key.partition(".")
+    ours = "z" if attr == "outlier_z" else "hard_max" if attr.startswith("hard_max") else "hard_min" if attr.startswith("hard_min") else {"kernel_size": "artifact", "stroke_width": "stroke"}.get(attr, attr)
+    return rule, ours
+
+
+def active_knobs(order: tuple[str, ...]) -> list[tuple[str, str, float, float, float]]:
+    """The knobs of filters that the order names."""
+    return [k for k in KNOB_TABLE if _knob(k[0])[0] in order]
+
+
+def set_knobs(cfg: Config, floors: dict | None = None, cutoffs: dict | None = None, params: dict | None = None) -> Config:
+    """cfg with knobs set by key: floors and params to a value, cutoffs to {"enabled": bool, "value": float} (off: no tail test).
+
+    Kernel sizes are rounded. Unknown keys are ignored. Bounds are for those who offer knobs; values are taken as they are."""
+    known = {k[0] for k in KNOB_TABLE}
+    asked: dict[str, dict] = {}
+    kernels = cfg.kernels
+    for key, value in {**(floors or {}), **{k: (float(v["value"]) if v.get("enabled", True) else None) for k, v in (cutoffs or {}).items()}, **(params or {})}.items():
+        if key in known:
+            rule, field = _knob(key)
+            if field in ("artifact", "stroke"):
+                kernels = replace(kernels, **{field: int(round(value))})
+            else:
+                asked.setdefault(rule, {})[field] = None if value is None else float(value)
+    change = lambda r: replace(r, **{k: v for k, v in asked.get(r.name, {}).items() if hasattr(r, k)})
+    return replace(cfg, kernels=kernels, rules=tuple(map(change, cfg.rules)), soft=tuple(map(change, cfg.soft)))

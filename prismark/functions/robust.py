@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismark.functions.quantiles import quantiles
+from prismark.sources.tables import written
+
 MAD_TO_STD = 1.4826
 
 
-def robust_fit(df: DataFrame, stat: str, by: list[str]) -> DataFrame:
-    """(by..., center, scale): median, and median absolute deviation times 1.4826, of each population.
+def robust_fits(df: DataFrame, stats: list[str], by: list[str]) -> DataFrame:
+    """(by..., center_<stat>, scale_<stat> ...): median, and median absolute deviation times 1.4826, of each population.
 
-    Two aggregations and a join on the population's key: the populations' statistics are few rows, so AQE sends them
-    to the rows, and no population's rows need to stand in one window.
+    All statistics are fitted in two aggregations, and the few rows of fits are written once: their size is known
+    to what joins them, and nothing is fitted twice. df is read several times: hand over a written table.
     """
-    centers = df.groupBy(*by).agg(F.median(stat).alias("center"))
-    off = df.join(centers, by).withColumn("__off", F.abs(F.col(stat) - F.col("center")))
-    return off.groupBy(*by).agg(F.first("center").alias("center"), (F.median("__off") * MAD_TO_STD).alias("scale"))
+    stats = list(dict.fromkeys(stats))
+    centers = written(quantiles(df, by, [(f"center_{s}", s, 0.5) for s in stats]), "centers")
+    off = df.join(centers, by).select(*by, *[F.abs(F.col(s) - F.col(f"center_{s}")).alias(s) for s in stats])
+    scales = quantiles(off, by, [(f"scale_{s}", s, 0.5) for s in stats])
+    return written(centers.join(scales.select(*by, *[(F.col(f"scale_{s}") * MAD_TO_STD).alias(f"scale_{s}") for s in stats]), by), "fits")
+
+
+def robust_fit(df: DataFrame, stat: str, by: list[str]) -> DataFrame:
+    """(by..., center, scale) of one statistic."""
+    return robust_fits(df, [stat], by).withColumnsRenamed({f"center_{stat}": "center", f"scale_{stat}": "scale"})
 
 
 def robust_z(value: Column, center: Column, scale: Column) -> Column:

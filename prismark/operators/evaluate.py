@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismark.functions.quantiles import quantiles
 from prismark.operators.neighbors import nearest_selected, pair_distances
+from prismark.sources.tables import written
 
 
 def _or0(c: Column) -> Column:
@@ -31,8 +33,8 @@ def quality_metrics(pool: DataFrame, picks: DataFrame) -> DataFrame:
 
 
 def coverage(pool: DataFrame, picks: DataFrame) -> DataFrame:
-    near = nearest_selected(pool, picks)
-    per = near.groupBy("object_id").agg(F.avg("dist").alias("m"), F.median("dist").alias("d"), F.count_if(F.col("dist") <= 0.5).alias("w5"), F.count_if(F.col("dist") <= 0.3).alias("w3"), F.count("*").alias("n"))
+    near = written(nearest_selected(pool, picks), "near")
+    per = near.groupBy("object_id").agg(F.avg("dist").alias("m"), F.count_if(F.col("dist") <= 0.5).alias("w5"), F.count_if(F.col("dist") <= 0.3).alias("w3"), F.count("*").alias("n")).join(quantiles(near, ["object_id"], [("d", "dist", 0.5)]), "object_id")
     objects = pool.select("object_id").distinct()
     zero = F.lit(0).cast("bigint")
     return objects.join(per, "object_id", "left").select("object_id", _or0(F.col("m")).alias("mean_min_distance"), _or0(F.col("d")).alias("median_min_distance"), F.coalesce("w5", zero).alias("within_05"), F.coalesce("w3", zero).alias("within_03"), F.coalesce("n", zero).alias("total_unselected"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismark.functions.pixels import resize
+from prismark.functions.quantiles import quantiles
 from prismark.operators.select import cosine_to, farthest_points, lloyd, neighbourhood, quality_seeds, units
 
 CLUSTERS = "object_id {kind}, cluster int, size bigint, medoid bigint, pick bigint, candidates array<bigint>"
@@ -47,7 +48,8 @@ def clusters_text(found: DataFrame, pool: DataFrame) -> DataFrame:
 def prefilter_text(rows: DataFrame, stats: list[str]) -> DataFrame:
     """(object_id, text): counts, ranges of the statistics and rejections by reason in alphabetical order."""
     ok = F.col("rejection_reason").isNull()
-    ranges = [F.format_string(f"{s}: %.4f .. %.4f, mean %.4f, median %.4f", F.min(s), F.max(s), F.avg(s), F.median(s)).alias(f"__{s}") for s in stats]
+    ranges = [F.format_string(f"{s}: %.4f .. %.4f, mean %.4f, median %.4f", F.min(s), F.max(s), F.avg(s), F.first(f"__median_{s}")).alias(f"__{s}") for s in stats]
+    rows = rows.join(quantiles(rows, ["object_id"], [(f"__median_{s}", s, 0.5) for s in stats]), "object_id")
     head = rows.groupBy("object_id").agg(F.format_string("total %d, accepted %d, rejected %d", F.count("*"), F.count_if(ok), F.count_if(~ok)).alias("__head"), *ranges)
     by = rows.where(~ok).groupBy("object_id", "rejection_reason").agg(F.count("*").alias("n"))
     lines = by.groupBy("object_id").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s: %d", "rejection_reason", "n"))), "\n").alias("__reasons"))  # one line for each reason

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismark.config import Config, ScoreRule, SoftRule
-from prismark.functions.robust import clip, one_sided_weight, robust_fit, robust_z, tail_rejected
+from prismark.config import Config, ScoreRule, SoftRule, set_knobs
+from prismark.functions.quantiles import quantiles
+from prismark.functions.robust import clip, one_sided_weight, robust_fit, robust_fits, robust_z, tail_rejected
+from prismark.sources.tables import written
 
 OBJECT = ["object_id"]
 
@@ -30,12 +35,9 @@ def rule_reason(rule: ScoreRule | SoftRule, stat: Column, z: Column | None) -> C
 
 
 def with_fits(df: DataFrame, rules: list, by: list[str] = OBJECT, where: Column | None = None) -> DataFrame:
-    """df with center_ and scale_ columns of each rule's statistic, fitted over the whole population (or `where`)."""
-    population = df if where is None else df.where(where)
-    for stat in dict.fromkeys(r.stat for r in rules):
-        fit = robust_fit(population, stat, by).select(*by, F.col("center").alias(f"center_{stat}"), F.col("scale").alias(f"scale_{stat}"))
-        df = df.join(fit, by, "left")
-    return df
+    """df with center_ and scale_ columns of each rule's statistic, fitted over the whole population (or `where`) at once."""
+    stats = list(dict.fromkeys(r.stat for r in rules))
+    return df.join(robust_fits(df if where is None else df.where(where), stats, by), by, "left") if stats else df
 
 
 def rule_z(rule) -> Column:
@@ -53,28 +55,46 @@ def verdict(df: DataFrame, rule: ScoreRule, by: list[str] = OBJECT) -> DataFrame
     return marked.withColumn("score", score).withColumn("passed", F.col("__r").isNull()).withColumn("reason", F.coalesce("__r", F.lit(rule.name))).drop("__r", f"center_{rule.stat}", f"scale_{rule.stat}")
 
 
-def chain(df: DataFrame, cfg: Config) -> DataFrame:
-    """df with rejection_reason (null: accepted): empty masks, border contact, then the rules in order.
+EMPTY, BORDER = "vincent_empty_mask", "vincent_border_pixel"  # names that results must have (fixed values)
+
+
+def default_order(cfg: Config) -> tuple[str, ...]:
+    return (*([EMPTY] if cfg.empty else []), *([BORDER] if cfg.border else []), *(r.name for r in cfg.rules))
+
 
-    All rules are fitted over the whole population before any row goes."""
-    rules = [r for r in cfg.rules if r.enabled]
-    fitted = with_fits(df, [r for r in rules if r.z is not None])
-    reasons = []
-    if cfg.empty:
-        reasons.append(F.when(F.col("pixel_count") <= 0, F.lit("vincent_empty_mask")))
-    if cfg.border:
-        reasons.append(F.when(F.col("touches_border") > 0, F.lit("vincent_border_pixel")))
-    reasons += [rule_reason(r, F.col(r.stat), rule_z(r) if r.z is not None else None) for r in rules]
-    none = F.lit(None).cast("string")
-    fits = [c for c in fitted.columns if c.startswith(("center_", "scale_"))]
-    return fitted.withColumn("rejection_reason", F.coalesce(*reasons, none)).drop(*fits)
+def chain(df: DataFrame, cfg: Config, order: tuple[str, ...] | None = None) -> DataFrame:
+    """df with rejection_reason (null: accepted), the first reason in order: by default empty masks, border contact, then the rules.
 
+    order names filters in any order: those of the default, and area, border, occlusion, confidence and completeness
+    (where df has their statistics). Names of soft rules are skipped here (soft_pass has them); unknown names are warned
+    of and skipped. All rules are fitted over the whole population, in one go, before any row goes."""
+    order = default_order(cfg) if order is None else order
+    rules = {r.name: r for r in cfg.rules if r.enabled}
+    fitted = with_fits(df, [rules[n] for n in order if n in rules and rules[n].z is not None])
+    c = F.col
+    plain = {EMPTY: lambda: F.when(c("pixel_count") <= 0, F.lit(EMPTY)), BORDER: lambda: F.when(c("touches_border") > 0, F.lit(BORDER)), "area": lambda: small_object(c("area_fraction"), cfg.area_minimum)[1]}
+    plain |= {"border": lambda: border_contact(c("border_ratio"), c("edge_ratio"), c("pixel_count"))[1], "occlusion": lambda: occlusion(c("hand_overlap"), c("pixel_count"), c("has_hand") if "has_hand" in df.columns else F.lit(True))[1]}
+    plain |= {"confidence": lambda: confidence(c("confidence")), "completeness": lambda: completeness_rule(c("completeness"))}
+    off, reasons = {r.name for r in cfg.rules} | {r.name for r in cfg.soft}, []
+    for name in order:
+        if name in rules:
+            r = rules[name]
+            reasons.append(rule_reason(r, c(r.stat), rule_z(r) if r.z is not None else None))
+        elif name in plain:
+            reasons.append(plain[name]())
+        elif name not in off:
+            warnings.warn(f"unknown filter {name!r} is skipped", stacklevel=2)
+    fits = [x for x in fitted.columns if x.startswith(("center_", "scale_"))]
+    return fitted.withColumn("rejection_reason", F.coalesce(*reasons, F.lit(None).cast("string"))).drop(*fits)
 
-def soft_pass(df: DataFrame, cfg: Config) -> DataFrame:
+
+def soft_pass(df: DataFrame, cfg: Config, order: tuple[str, ...] | None = None) -> DataFrame:
     """Soft rules after the chain: they may reject rows still accepted, and weigh those accepted then.
 
-    Tail tests are fitted on all rows, weights on accepted ones; rejected rows' weights are 0."""
-    soft = list(cfg.soft)
+    With an order, only the soft rules it names. Tail tests are fitted on all rows, weights on accepted ones; rejected rows' weights are 0."""
+    soft = [r for r in cfg.soft if order is None or r.name in order]
+    if not soft:
+        return df
     fitted = with_fits(df, [r for r in soft if r.z is not None]) if any(r.z is not None for r in soft) else df
     reasons = [rule_reason(r, F.col(r.stat), rule_z(r) if r.z is not None else None) for r in soft]
     out = fitted.withColumn("rejection_reason", F.coalesce("rejection_reason", *reasons)).drop(*[c for c in fitted.columns if c.startswith(("center_", "scale_"))])
@@ -113,7 +133,8 @@ def tune(df: DataFrame, by: list[str] = OBJECT) -> DataFrame:
     ]
     if "completeness" in df.columns:
         spec.append(("completeness_minimum_score", "completeness", 0.01, 0.50, 0.80, 4))
-    return df.groupBy(*by).agg(*[F.round(clip(F.percentile(stat, p), lo, hi), digits).alias(name) for name, stat, p, lo, hi, digits in spec])
+    found = quantiles(df, by, [(name, stat, p) for name, stat, p, *_ in spec])
+    return found.select(*by, *[F.round(clip(F.col(name), lo, hi), digits).alias(name) for name, _, _, lo, hi, digits in spec])
 
 
 def small_object(ratio: Column, least: float = 0.01) -> tuple[Column, Column]:
@@ -144,3 +165,31 @@ def confidence(value: Column, least: float = 0.5) -> Column:
 
 def completeness_rule(value: Column, least: float = 0.65) -> Column:
     return F.when(value.isNull(), F.lit("empty_mask")).when(value < least, F.lit("incomplete_shape"))
+
+
+def auto_chain(df: DataFrame, cfg: Config) -> DataFrame:
+    """chain() with each object's own floors of both blur rules, as tune() finds them (tuned floors are never under 0)."""
+    tuned = {"blur_laplacian": "laplacian_threshold", "blur_tenengrad": "tenengrad_threshold"}
+    floors = written(tune(df).select(*OBJECT, *tuned.values()), "tuned")
+    open_ = replace(cfg, rules=tuple(replace(r, hard_min=None) if r.name in tuned else r for r in cfg.rules))
+    fitted = with_fits(df.join(floors, OBJECT), [r for r in open_.rules if r.enabled and r.z is not None])
+    reasons = [F.when(F.col("pixel_count") <= 0, F.lit(EMPTY))] if cfg.empty else []
+    reasons += [F.when(F.col("touches_border") > 0, F.lit(BORDER))] if cfg.border else []
+    for r in open_.rules:
+        if r.enabled:
+            if r.name in tuned:
+                reasons.append(F.when(F.col(r.stat) < F.col(tuned[r.name]), F.lit(f"{r.name}_threshold")))
+            reasons.append(rule_reason(r, F.col(r.stat), rule_z(r) if r.z is not None else None))
+    extra = [x for x in fitted.columns if x.startswith(("center_", "scale_"))] + list(tuned.values())
+    return fitted.withColumn("rejection_reason", F.coalesce(*reasons, F.lit(None).cast("string"))).drop(*extra)
+
+
+def what_if(stats: DataFrame, cfg: Config, order: tuple[str, ...] | None = None, floors: dict | None = None, cutoffs: dict | None = None, params: dict | None = None) -> DataFrame:
+    """Verdicts under other knobs, over stored statistics: no frame is read again.
+
+    Knobs are those of config.KNOB_TABLE. Kernel sizes change the statistics themselves, so that they are an error here."""
+    changed = set_knobs(cfg, floors, cutoffs, params)
+    if changed.kernels != cfg.kernels:
+        raise ValueError("kernel sizes change the statistics: compute these anew")
+    out = chain(stats, changed, order)
+    return soft_pass(out, changed, order)

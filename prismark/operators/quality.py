@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismark.config import Floor, Quality
+from prismark.functions.quantiles import quantiles
 from prismark.functions.robust import clip
 
 
@@ -62,7 +63,7 @@ def floors(df: DataFrame, cfg: Floor, views: int, value: str = "quality", by: tu
     rank = Window.partitionBy(*by).orderBy(F.desc(value))
     ranked = df.withColumn("__k", F.row_number().over(rank)).where(F.col("__k") <= keep)
     kth = ranked.groupBy(*by).agg(F.max(F.when(F.col("__k") == views, F.col(value))).alias("__views"), F.max(F.when(F.col("__k") == keep, F.col(value))).alias("__keep"))
-    base = df.groupBy(*by).agg(F.percentile(value, cfg.percentile).alias("__p"), F.min(value).alias("__min"), F.count("*").alias("__n"))
+    base = df.groupBy(*by).agg(F.min(value).alias("__min"), F.count("*").alias("__n")).join(quantiles(df, list(by), [("__p", value, cfg.percentile)]), list(by))
     floor = F.greatest("__p", F.lit(cfg.absolute_min))
     floor = F.when(F.col("__n") >= keep, F.least(floor, F.col("__keep"))).otherwise(floor)
     return base.join(kth, list(by)).select(*by, F.when(F.col("__n") <= views, F.col("__min")).otherwise(F.least(floor, F.col("__views"))).alias("floor"))
@@ -73,14 +74,19 @@ def selection_pool(df: DataFrame, floor: DataFrame, value: str = "quality", by:
     return df.join(floor, list(by)).where((F.col("floor") <= 0) | (F.col(value) >= F.col("floor"))).drop("floor")
 
 
-def minmax(value: Column, by: list[str]) -> Column:
-    """value on its population's range; a flat population gives 0."""
-    w = Window.partitionBy(*by)
-    low, high = F.min(value).over(w), F.max(value).over(w)
+def ranges(df: DataFrame, stat: str, by: list[str]) -> DataFrame:
+    """df with low and high, the ends of its population's range of the statistic: one aggregation, joined back."""
+    return df.join(df.groupBy(*by).agg(F.min(stat).alias("low"), F.max(stat).alias("high")), by, "left")
+
+
+def minmax(value: Column, low: Column, high: Column) -> Column:
+    """value on its population's range (ranges()); a flat population gives 0."""
     return F.when(high > low, clip((value - low) / (high - low), 0.0, 1.0)).otherwise(0.0)
 
 
 def summary(df: DataFrame, stats: list[str], by: list[str]) -> DataFrame:
     """One row for each population and statistic: min, max, mean, median."""
-    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("v")) for s in stats])).alias("x"))
-    return long.groupBy(*by, F.col("x.stat").alias("stat")).agg(F.min("x.v").alias("min"), F.max("x.v").alias("max"), F.avg("x.v").alias("mean"), F.median("x.v").alias("median"))
+    plain = df.groupBy(*by).agg(*[f(s).alias(f"{n}_{s}") for s in stats for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))])
+    wide = plain.join(quantiles(df, by, [(f"median_{s}", s, 0.5) for s in stats]), by)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), *[F.col(f"{n}_{s}").cast("double").alias(n) for n in ("min", "max", "mean", "median")]) for s in stats]))
+    return wide.select(*by, each.alias("x")).select(*by, "x.*")
