@@ -174,23 +174,49 @@ def square_pad(image: np.ndarray, fill: float) -> np.ndarray:
 
 
 def contrast_input(image: np.ndarray, mask: np.ndarray, background: int | None, by: int = 5, size: int = 224) -> np.ndarray:
-    """The object on a plain background, square and resized. No background: the raw crop on zeros."""
-    on = mask > 0
+    """The object (height, width, channels) on a plain background, square and resized. No background: the raw crop on zeros."""
+    on, channels = mask > 0, image.shape[2]
     if background is None:
-        return np.zeros((size, size, 3), np.uint8) if not on.any() else resize(square_pad(bbox_crop(image, on), 0), size)
+        return np.zeros((size, size, channels), np.uint8) if not on.any() else resize(square_pad(bbox_crop(image, on), 0), size)
     wide = grow(on[None], by)[0]
     if not wide.any():
-        return np.full((size, size, 3), background, np.uint8)
+        return np.full((size, size, channels), background, np.uint8)
     cut = np.where(wide[..., None], image, background).astype(np.uint8)
     return resize(square_pad(bbox_crop(cut, wide), background), size)
 
 
-def region_alpha(mask: np.ndarray, by: int = 5) -> np.ndarray:
-    """255 over the object, 204 over the grown margin, 168 elsewhere, square-padded like contrast_input."""
+#: Alpha over the object, over the grown margin, and elsewhere (fixed values, of 255).
+ALPHA = (1.0, 0.8, 0.66)
+
+
+def region_alpha(mask: np.ndarray, by: int = 5, size: int = 224) -> np.ndarray:
+    """Alpha that goes with contrast_input: object, grown margin and the rest, resized between neighbours so that values stay between them."""
+    on = mask > 0
+    wide = grow(on[None], by)[0]
+    if not wide.any():
+        return np.full((size, size), int(255 * ALPHA[2]), np.uint8)
+    alpha = np.where(on, ALPHA[0], np.where(wide, ALPHA[1], ALPHA[2]))
+    square = square_pad(bbox_crop(alpha, wide), ALPHA[2])
+    w = _triangle(square.shape[0], size)
+    return np.round(w @ square @ w.T * 255).astype(np.uint8)
+
+
+def contrast_mask(mask: np.ndarray, by: int = 5, size: int = 224) -> np.ndarray:
+    """The mask itself, not grown, in the geometry of contrast_input: 0 or 255."""
     on = mask > 0
     wide = grow(on[None], by)[0]
-    alpha = np.where(on, 255, np.where(wide, 204, 168)).astype(np.uint8)
-    return square_pad(bbox_crop(alpha, wide), 168)
+    if not wide.any():
+        return np.zeros((size, size), np.uint8)
+    square = square_pad(bbox_crop(np.where(on, 255, 0), wide), 0)
+    return np.where(resize(square, size) > 127, 255, 0).astype(np.uint8)
+
+
+def _triangle(n: int, size: int) -> np.ndarray:
+    """(size, n) weights of a separable bilinear resize, widened when it shrinks."""
+    scale = n / size
+    at = (np.arange(size) + 0.5) * scale
+    weight = np.clip(1 - np.abs(np.arange(n)[None, :] + 0.5 - at[:, None]) / max(scale, 1.0), 0, None)
+    return weight / weight.sum(axis=1, keepdims=True)
 
 
 def thumbnail_distance(a: np.ndarray, b: np.ndarray, size: int = 48) -> float:

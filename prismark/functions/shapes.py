@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -126,27 +127,43 @@ def _square(mask: np.ndarray, size: int) -> np.ndarray:
     return weights(h) @ mask.astype(float) @ weights(w).T
 
 
-def zernike(mask: np.ndarray, degree: int = 10, size: int = 64) -> np.ndarray:
-    """Magnitudes of the Zernike moments of all (n, m) up to degree but the first, on the unit disc."""
-    ys, xs = np.nonzero(mask)
-    pairs = [(n, m) for n in range(degree + 1) for m in range(-n, n + 1) if (n - abs(m)) % 2 == 0]
-    if not len(ys):
-        return np.zeros(len(pairs) - 1)
-    crop = (mask[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1] > 0).astype(float)
-    s = max(crop.shape)
-    padded = np.zeros((s, s))
-    padded[(s - crop.shape[0]) // 2 :, (s - crop.shape[1]) // 2 :][: crop.shape[0], : crop.shape[1]] = crop
-    img = _square(padded, size)
-    axis = np.linspace(-1, 1, size)
-    rho = np.hypot(axis[None, :], axis[:, None])
-    theta = np.arctan2(axis[:, None], axis[None, :])
-    inside = rho <= 1
-    out = []
-    for n, m in pairs:
-        k = abs(m)
-        radial = sum((-1) ** s * math.factorial(n - s) / (math.factorial(s) * math.factorial((n + k) // 2 - s) * math.factorial((n - k) // 2 - s)) * rho ** (n - 2 * s) for s in range((n - k) // 2 + 1))
-        out.append(abs((img * radial * np.exp(-1j * m * theta))[inside].sum() * (n + 1) / math.pi * (2 / size) ** 2))
-    return np.array(out[1:])
+def _shorter_square(mask: np.ndarray) -> np.ndarray:
+    """The whole mask on a square of its shorter side, by bilinear samples at cell middles."""
+    on = (mask > 0).astype(float)
+    s = min(on.shape)
+
+    def weights(n: int) -> np.ndarray:
+        at = np.clip((np.arange(s) + 0.5) * n / s - 0.5, 0, n - 1)
+        return np.clip(1 - np.abs(at[:, None] - np.arange(n)[None, :]), 0, None)
+
+    return weights(on.shape[0]) @ on @ weights(on.shape[1]).T
+
+
+@lru_cache(maxsize=8)
+def _zernike_basis(side: int, degree: int) -> np.ndarray:
+    """(moments, side * side): radial polynomials times cosines (m >= 0) or sines (m < 0) on the unit disc, times (n + 1) / pi; without the first."""
+    axis = np.linspace(-1, 1, side)
+    rho, theta = np.hypot(axis[None, :], axis[:, None]).ravel(), np.arctan2(axis[:, None], axis[None, :]).ravel()
+    powers = rho[None, :] ** np.arange(degree + 1)[:, None]
+    rows = []
+    for n in range(degree + 1):
+        for m in range(-n, n + 1, 2):
+            k = abs(m)
+            radial = sum((-1) ** j * math.comb(n - j, j) * math.comb(n - 2 * j, (n - k) // 2 - j) * powers[n - 2 * j] for j in range((n - k) // 2 + 1))
+            rows.append(radial * (np.cos(k * theta) if m >= 0 else np.sin(k * theta)) * (n + 1) / math.pi * (rho <= 1))
+    return np.array(rows[1:])
+
+
+def zernike(mask: np.ndarray, degree: int = 10) -> np.ndarray:
+    """Absolute real Zernike moments of all (n, m) up to degree but the first, of the mask on a square of its shorter side."""
+    return zernike_all(mask[None], degree)[0]
+
+
+def zernike_all(masks: np.ndarray, degree: int = 10) -> np.ndarray:
+    """Moments of a stack of equal masks, as one matrix product."""
+    side = min(masks.shape[1:])
+    squares = (masks > 0).astype(float) if masks.shape[1] == masks.shape[2] else np.stack([_shorter_square(m) for m in masks])
+    return np.abs(squares.reshape(len(masks), -1) @ _zernike_basis(side, degree).T)
 
 
 def fourier_descriptor(mask: np.ndarray, terms: int = 32) -> np.ndarray:
@@ -161,19 +178,21 @@ def fourier_descriptor(mask: np.ndarray, terms: int = 32) -> np.ndarray:
 
 
 def shape_context(mask: np.ndarray, samples: int = 64, radial: int = 5, angular: int = 12) -> np.ndarray:
-    """Log-polar histogram of where contour points lie from one another, over its sum; shorter contours give fewer points."""
+    """Histogram of where contour points lie from their centroid, by distance (rings of equal width up to 1.05 times the largest)
+    and angle, over its sum; shorter contours give fewer points. Zeros without a contour, or where all points are one."""
     c = contour(mask)
-    if len(c) < 2:
-        return np.zeros(radial * angular)
-    c = c[np.linspace(0, len(c) - 1, min(samples, len(c))).astype(int)]
-    d = c[None, :, :] - c[:, None, :]
-    r = np.linalg.norm(d, axis=2)
-    other = ~np.eye(len(c), dtype=bool)
-    r = r / max(r[other].mean(), 1e-12)
-    ring = np.clip(np.digitize(np.log(np.maximum(r, 1e-12)), np.linspace(math.log(0.125), math.log(2), radial + 1)[1:-1]), 0, radial - 1)
-    wedge = np.floor((np.arctan2(d[..., 1], d[..., 0]) + math.pi) / (2 * math.pi) * angular).astype(int) % angular
-    hist = np.bincount((ring * angular + wedge)[other], minlength=radial * angular).astype(float)
-    return hist / hist.sum()
+    if len(c) > samples:
+        c = c[np.linspace(0, len(c) - 1, samples, dtype=int)]
+    out = np.zeros((radial, angular))
+    d = c - c.mean(axis=0) if len(c) else c
+    far = np.linalg.norm(d, axis=1) if len(c) else np.zeros(0)
+    if not len(c) or far.max() == 0:
+        return out.ravel()
+    ring = np.searchsorted(np.linspace(0, far.max(), radial + 1)[1:] * 1.05, far)
+    wedge = np.searchsorted(np.linspace(-math.pi, math.pi, angular + 1)[1:], np.arctan2(d[:, 1], d[:, 0]))
+    inside = (ring < radial) & (wedge < angular)
+    np.add.at(out, (ring[inside], wedge[inside]), 1.0)
+    return out.ravel() / (out.sum() + 1e-10)
 
 
 def silhouette(mask: np.ndarray, size: int = 64) -> np.ndarray:
@@ -189,6 +208,8 @@ def silhouette(mask: np.ndarray, size: int = 64) -> np.ndarray:
     return flat / np.linalg.norm(flat)
 
 
+#: Descriptors of whole stacks of equal masks.
+STACKED = {"zernike": zernike_all}
 DESCRIPTORS = {"hu": hu_moments, "zernike": zernike, "fourier": fourier_descriptor, "shape_context": shape_context, "silhouette": silhouette}
 
 
@@ -196,3 +217,7 @@ def describe(mask: np.ndarray, name: str) -> np.ndarray:
     if name not in DESCRIPTORS:
         raise ValueError(f"unknown descriptor {name!r}; known: {', '.join(DESCRIPTORS)}")
     return DESCRIPTORS[name](mask)
+
+
+def describe_all(masks: np.ndarray, name: str) -> np.ndarray:
+    return STACKED[name](masks) if name in STACKED else np.stack([describe(m, name) for m in masks])

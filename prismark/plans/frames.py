@@ -85,12 +85,36 @@ def with_descriptor(df: DataFrame, name: str, height: int = SIDE, width: int = S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                rows = [shapes.describe(m, name).tolist() for m in _stack(b.column(2), height, width)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, type=pa.list_(pa.float64()))], names=["object_id", "pos", "embedding"])
+                rows = shapes.describe_all(_stack(b.column(2), height, width), name)
+                rows = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows], names=["object_id", "pos", "embedding"])
 
     return src.mapInArrow(run, T.StructType([src.schema["object_id"], src.schema["pos"], T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
 
 
+def with_inputs(df: DataFrame, name: str, size: int = 224, height: int = SIDE, width: int = SIDE) -> DataFrame:
+    """object_id, pos, height, width, pixels (row by row) of what a model is given: masked_crop, square_crop, or contrast_input,
+    contrast_alpha and contrast_mask on the background in the column of that name. Grey frames, so one channel."""
+    plain = name in ("masked_crop", "square_crop")
+    src = df.select("object_id", "pos", "gray", "mask", *([] if plain else ["background"]))
+    made = {
+        "masked_crop": lambda g, m, b: pixels.masked_crop(g, m), "square_crop": lambda g, m, b: pixels.contrast_input(g[..., None], m, None, size=size)[..., 0],
+        "contrast_input": lambda g, m, b: pixels.contrast_input(g[..., None], m, b, 1, size)[..., 0], "contrast_alpha": lambda g, m, b: pixels.region_alpha(m, 1, size), "contrast_mask": lambda g, m, b: pixels.contrast_mask(m, 1, size),
+    }[name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # pictures are larger than frames
+                b = whole.slice(at, 256)
+                grays, masks = _stack(b.column(2), height, width), _stack(b.column(3), height, width)
+                backs = [None] * b.num_rows if plain else b.column(4).to_pylist()
+                out = [made(g.astype(np.uint8), m, c) for g, m, c in zip(grays, masks, backs, strict=True)]
+                sides = [pa.array([o.shape[k] for o in out], type=pa.int32()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *sides, pa.array([o.ravel().astype(np.int32) for o in out], type=pa.list_(pa.int32()))], names=["object_id", "pos", "height", "width", "pixels"])
+
+    return src.mapInArrow(run, T.StructType([src.schema["object_id"], src.schema["pos"], T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("pixels", T.ArrayType(T.IntegerType()))]))
+
+
 #: The same encoding and statistics in SQL: px (pixels), st (one row of statistics for each frame).
 PX_SQL = """
 px as (
