@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismark.operators.select import units
+from prismark.operators.select import lloyd, units
 
 
 def pca_axes(df: DataFrame, dims: int, vec: str = "embedding") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,20 +174,64 @@ def discriminant(x: np.ndarray, labels: np.ndarray, dims: int) -> np.ndarray:
 
 
 METHODS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {"mds": mds_euclidean, "mds_cosine": mds_cosine, "isomap": isomap, "lle": locally_linear, "tsne": tsne}
-ALWAYS = ("pca", "mds")
 
 
-def by_object(pool: DataFrame, method: str, dims: int = 2) -> DataFrame:
-    """(object_id, pos, coords) of each object's rows. MDS meets an object's distances in tiles, the others hold all N x N: for pools of pictures, not of corpora."""
-    if method not in METHODS:
-        raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
+def by_object(pool: DataFrame, method: str, dims: int = 2, labels: str | None = None) -> DataFrame:
+    """(object_id, pos, coords) of each object's rows; lda takes classes from the column `labels`. An object of one row stands at the origin.
+
+    MDS meets an object's distances in tiles, the others hold all N x N: for pools of pictures, not of corpora."""
+    if method not in METHODS and method != "lda":
+        raise ValueError(f"unknown method {method!r}; known: {', '.join([*METHODS, 'lda'])}")
+    if method == "lda" and labels is None:
+        raise ValueError("lda needs labels")
     kind = pool.schema["object_id"].dataType.simpleString()
-    reduce = METHODS[method]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
         x = np.stack(rows["embedding"].to_numpy()).astype(float)
-        coords = reduce(x, dims) if len(x) > 1 else np.zeros((len(x), dims))
+        if len(x) < 2:
+            coords = np.zeros((len(x), dims))
+        else:
+            coords = discriminant(x, rows[labels].to_numpy(), dims) if method == "lda" else METHODS[method](x, dims)
         return pd.DataFrame({"object_id": rows["object_id"], "pos": rows["pos"], "coords": list(coords.tolist())})
 
-    return pool.select("object_id", "pos", "embedding").groupBy("object_id").applyInPandas(run, f"object_id {kind}, pos bigint, coords array<double>")
+    more = [labels] if labels else []
+    return pool.select("object_id", "pos", "embedding", *more).groupBy("object_id").applyInPandas(run, f"object_id {kind}, pos bigint, coords array<double>")
+
+
+def best_labels(x: np.ndarray, k: int, starts: int = 10, seed: int = 0) -> np.ndarray:
+    """k-means labels, the tightest of seeded starts; k is held between 2 and the rows (one row: label 0)."""
+    n = len(x)
+    if n < 2:
+        return np.zeros(n, dtype=int)
+    k = max(2, min(k or 2, n))
+    best, least = np.zeros(n, dtype=int), np.inf
+    for s in range(starts):
+        rng = np.random.default_rng([seed, s])
+        seeds = [int(rng.integers(n))]
+        near = np.square(x - x[seeds[0]]).sum(axis=1)
+        while len(seeds) < k:  # each next one by its distance from those before
+            pick = int(rng.choice(n, p=near / near.sum())) if near.sum() > 0 else next(i for i in range(n) if i not in seeds)
+            seeds.append(pick)
+            near = np.minimum(near, np.square(x - x[pick]).sum(axis=1))
+        labels, centers = lloyd(x, seeds)
+        spread = np.square(x - centers[labels]).sum()
+        if spread < least - 1e-12:
+            best, least = labels, spread
+    return best
+
+
+def cluster_labels(pool: DataFrame, k: int) -> DataFrame:
+    """(object_id, pos, cluster): visual clusters of each object's rows."""
+    kind = pool.schema["object_id"].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        return pd.DataFrame({"object_id": rows["object_id"], "pos": rows["pos"], "cluster": best_labels(np.stack(rows["embedding"].to_numpy()).astype(float), k).astype(np.int32)})
+
+    return pool.select("object_id", "pos", "embedding").groupBy("object_id").applyInPandas(run, f"object_id {kind}, pos bigint, cluster int")
+
+
+def shown(n: int, columns: int, dims: int) -> bool:
+    """Whether there is anything to draw: two rows at least, as many columns as dimensions, and more than three rows in 3-D."""
+    return n >= 2 and columns >= dims and (dims < 3 or n > 3)
