@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prismark.config import KNOB_TABLE, Config, ScoreRule, set_knobs
 from prismark.config import SMALL_FRAMES as CFG
-from prismark.config import Config, ScoreRule
 from prismark.functions import robust, vectors
 from prismark.operators import evaluate, explore, filters, neighbors, plotdata, quality, reduce, select
 from prismark.sources.tables import written
-from prismark.plans.frames import PX_SQL, SIDE, ST_SQL, frames, pool, with_descriptor, with_shapes, with_stats
+from prismark.plans.frames import PX_SQL, SIDE, ST_SQL, frames, pool, with_descriptor, with_inputs, with_shapes, with_stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -128,7 +129,8 @@ def outlier_on_score(spark, sf):
 
 @query("minmax_normalize", "select doc_id, round(case when max(n_chars) over w > min(n_chars) over w then (n_chars - min(n_chars) over w) / (max(n_chars) over w - min(n_chars) over w)::double else 0 end, 6) + 0.0 as scaled from documents window w as (partition by lang)")
 def minmax_normalize(spark, sf):
-    return _r(_table(spark, sf, "documents").select("doc_id", quality.minmax(F.col("n_chars"), ["lang"]).alias("scaled")))
+    docs = quality.ranges(_table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "n_chars", ["lang"])
+    return _r(docs.select("doc_id", quality.minmax(F.col("n_chars"), F.col("low"), F.col("high")).alias("scaled")))
 
 
 @query("softmax", "with s as (select vec_id, embedding::double[] as e from embeddings), x as (select vec_id, i, exp((e[i] - list_max(e)) / 0.1) as v from s, (select unnest(range(1, 65)) as i)) select vec_id as pos, i::int - 1 as i, round(v / sum(v) over (partition by vec_id), 6) as share from x")
@@ -233,8 +235,13 @@ sp as materialized (select so.*, case when rejection_reason is null then {_W.for
   from so left join f1_area_fraction using (object_id) left join f1_laplacian using (object_id))"""
 
 
+def _stored(spark, sf) -> DataFrame:
+    """The statistics of all frames, written once: populations are fitted, judged and reported from this narrow table, and no frame is read twice."""
+    return written(_stats(spark, sf), "stats")
+
+
 def _chained(spark, sf, cfg: Config = CFG) -> DataFrame:
-    return filters.chain(_stats(spark, sf, cfg), cfg)
+    return filters.chain(_stored(spark, sf), cfg)
 
 
 @query("filter_chain", f"with {CHAIN_SQL} select pos, rejection_reason from ch")
@@ -253,7 +260,7 @@ def _rule_query(name: str, rule: ScoreRule):
 
     @query(name, sql)
     def run(spark, sf):
-        return _r(filters.verdict(_stats(spark, sf), rule).select("pos", "score", "passed", "reason"))
+        return _r(filters.verdict(_stored(spark, sf), rule).select("pos", "score", "passed", "reason"))
 
 
 for _name, _rule in zip(("filter_laplacian", "filter_tenengrad", "filter_artifacts"), CFG.rules, strict=True):
@@ -311,7 +318,7 @@ def rejections_by_reason_mode(spark, sf):
   round(least(greatest(quantile_cont(edge_ratio, 0.95), 0.05), 0.5), 4) as border_edge_maximum_ratio, round(least(greatest(quantile_cont(laplacian, 0.05), 5), 1000), 1) as laplacian_threshold,
   round(least(greatest(quantile_cont(tenengrad, 0.05), 3), 100), 1) as tenengrad_threshold, round(least(greatest(quantile_cont(hand_overlap, 0.95), 0.001), 0.30), 4) as occlusion_maximum_overlap from st group by 1""")
 def tune_thresholds(spark, sf):
-    return filters.tune(_stats(spark, sf))
+    return filters.tune(_stored(spark, sf))
 
 
 @query("rejected_metrics", f"with {CHAIN_SQL} select pos, rejection_reason as reason, {', '.join(f'round({c}, 6) + 0.0 as {c}' for c in ('laplacian', 'tenengrad', 'area_fraction', 'border_ratio', 'edge_ratio', 'hand_overlap', 'pixel_count', 'touches_border', 'artifact_fraction'))} from ch where rejection_reason is not null")
@@ -319,6 +326,64 @@ def rejected_metrics(spark, sf):
     return _r(_chained(spark, sf).where("rejection_reason is not null").select("pos", F.col("rejection_reason").alias("reason"), "laplacian", "tenengrad", "area_fraction", "border_ratio", "edge_ratio", "hand_overlap", "pixel_count", "touches_border", "artifact_fraction"))
 
 
+# --- other orders and knobs ------------------------------------------------------------------------------------------
+
+ORDER = ("vincents_artefacts", "area", "no_such_filter", "blur_tenengrad", "vincents_area", "vincent_empty_mask")
+_ORDERED = ", ".join([_reason_sql(CFG.rules[2]), f"case when area_fraction < {CFG.area_minimum} then 'small_object' end", _reason_sql(CFG.rules[1]), "case when pixel_count <= 0 then 'vincent_empty_mask' end"])
+
+
+@query("filter_order_chain", f"with {ST_SQL}, {_FITS} select pos, coalesce({_ORDERED}) as rejection_reason from st {_JOINS}")
+def filter_order_chain(spark, sf):
+    """Filters in an order of the caller's; unknown names are warned of, soft rules have their own pass."""
+    return filters.chain(_stored(spark, sf), CFG, ORDER).select("pos", "rejection_reason")
+
+
+KNOBS = {"floors": {"blur_laplacian.hard_min_variance": 150000.0, "vincents_motion_blur.hard_min_variance": 160000.0, "nothing.hard_min": 1.0}, "cutoffs": {"blur_tenengrad.outlier_z": {"enabled": False, "value": 2.0}, "vincents_artefacts.outlier_z": {"enabled": True, "value": 1.25}}, "params": {"vincents_area.softness": 0.8}}
+_WHAT = set_knobs(CFG, **KNOBS)
+_WHAT_SQL = f"{ST_SQL}, {_FITS}, ch as materialized (select *, coalesce(case when pixel_count <= 0 then 'vincent_empty_mask' end, {', '.join(_reason_sql(r) for r in _WHAT.rules)}, case when laplacian < {_WHAT.soft[1].hard_min} then 'vincents_motion_blur_threshold' end) as rejection_reason from st {_JOINS})"
+
+
+@query("what_if", f"""with {_WHAT_SQL}, ok as (select * from ch where rejection_reason is null), {_fit("area_fraction", "ok", "1")}
+  select pos, rejection_reason, round(case when rejection_reason is null then {_W.format("area_fraction").replace("/ 0.3", "/ 0.8")} else 0 end, 6) + 0.0 as vincents_area from ch left join f1_area_fraction using (object_id)""")
+def what_if(spark, sf):
+    """Verdicts under other knobs, from stored statistics."""
+    return _r(filters.what_if(_stored(spark, sf), CFG, **KNOBS).select("pos", "rejection_reason", "vincents_area"))
+
+
+@query("what_if_auto", f"""with {ST_SQL}, {_FITS}, t as (select object_id, round(least(greatest(quantile_cont(laplacian, 0.05), 5), 1000), 1) as tl, round(least(greatest(quantile_cont(tenengrad, 0.05), 3), 100), 1) as tt from st group by 1)
+  select pos, coalesce(case when pixel_count <= 0 then 'vincent_empty_mask' end, case when laplacian < tl then 'blur_laplacian_threshold' when {_z("laplacian")} <= -2.0 then 'blur_laplacian_outlier' end,
+    case when tenengrad < tt then 'blur_tenengrad_threshold' when {_z("tenengrad")} <= -2.0 then 'blur_tenengrad_outlier' end, {_reason_sql(CFG.rules[2])}) as rejection_reason from st {_JOINS} join t using (object_id)""")
+def what_if_auto(spark, sf):
+    """Verdicts with each object's own tuned floors of blur."""
+    return filters.auto_chain(_stored(spark, sf), CFG).select("pos", "rejection_reason")
+
+
+@query("knob_registry", "select * from (values " + ", ".join(f"('{k}', '{g}', {lo}::double, {hi}::double, {step}::double)" for k, g, lo, hi, step in KNOB_TABLE) + ") as k(knob, grp, low, high, step)")
+def knob_registry(spark, sf):
+    return spark.createDataFrame([(k, g, float(lo), float(hi), float(step)) for k, g, lo, hi, step in KNOB_TABLE], "knob string, grp string, low double, high double, step double")
+
+
+# --- model inputs ----------------------------------------------------------------------------------------------------
+
+
+@query("masked_crop", f"with {ST_SQL}, c as (select pos, sum(case when m then g else 0 end)::bigint as total from px group by 1) select pos, (case when pixel_count > 0 then y1 - y0 + 1 else 8 end)::int as height, (case when pixel_count > 0 then x1 - x0 + 1 else 8 end)::int as width, total from st join c using (pos)")
+def masked_crop(spark, sf):
+    """The crop to the bounding box on a zero background: its size and the sum of its pixels."""
+    made = with_inputs(frames(spark, sf), "masked_crop")
+    return made.select("pos", "height", "width", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+def _input_query(name: str):
+    @query(name)
+    def run(spark, sf):
+        """Rows of pixels of the input a model of 32 x 32 pixels gets; the background is the object's (contrast_background)."""
+        return with_inputs(frames(spark, sf).join(written(contrast_background(spark, sf), "background"), "object_id"), name, size=32)
+
+
+for _name in ("square_crop", "contrast_input", "contrast_alpha", "contrast_mask"):
+    _input_query(_name)
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 _Q = CFG.quality
@@ -364,7 +429,7 @@ def _curated(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query("quality_floor", f"with {ACC_SQL} select object_id, round(floor, 6) + 0.0 as floor from fl")
 def quality_floor(spark, sf):
-    return _r(quality.floors(_accepted(spark, sf), CFG.floor, CFG.views))
+    return _r(quality.floors(written(_accepted(spark, sf).select("object_id", "pos", "quality"), "accepted"), CFG.floor, CFG.views))
 
 
 @query("selection_pool", f"with {ACC_SQL} select object_id, pos, round(quality, 6) + 0.0 as quality from pl")
@@ -579,11 +644,7 @@ def cluster_avg_quality(spark, sf):
 
 @query("kmeans_labels")
 def kmeans_labels(spark, sf):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = pool(spark, sf).select("object_id", "pos", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    return KMeans(k=5, seed=0, featuresCol="features", predictionCol="cluster").fit(rows).transform(rows).select("object_id", "pos", "cluster")
+    return reduce.cluster_labels(pool(spark, sf), 5)
 
 
 @query("explore_kmeans_xnn")
@@ -599,7 +660,7 @@ def explorer_text(spark, sf):
 
 @query("prefilter_report")
 def prefilter_report(spark, sf):
-    return explore.prefilter_text(_chained(spark, sf), ["laplacian", "tenengrad", "artifact_fraction"])
+    return explore.prefilter_text(written(_chained(spark, sf), "chained"), ["laplacian", "tenengrad", "artifact_fraction"])
 
 
 @query("bad_examples")
@@ -680,12 +741,20 @@ def quality_report_rows(spark, sf):
 # --- descriptors, reduction and plot data ----------------------------------------------------------------------------
 
 
+_HU = ["n20 + n02", "(n20 - n02) ** 2 + 4 * n11 ** 2", "(n30 - 3 * n12) ** 2 + (3 * n21 - n03) ** 2", "a ** 2 + b ** 2", "(n30 - 3 * n12) * a * (a * a - 3 * b * b) + (3 * n21 - n03) * b * (3 * a * a - b * b)", "(n20 - n02) * (a * a - b * b) + 4 * n11 * a * b", "(3 * n21 - n03) * a * (a * a - 3 * b * b) - (n30 - 3 * n12) * b * (3 * a * a - b * b)"]
+
+
 @query("hu_moments", f"""with {PX_SQL}, c as (select pos, count(*) as n, avg(x) as cx, avg(y) as cy from px where m group by 1),
-n as (select pos, sum((x-cx)**2)/n**2 as n20, sum((y-cy)**2)/n**2 as n02, sum((x-cx)*(y-cy))/n**2 as n11 from px join c using (pos) where m group by pos, n),
-h as (select pos, n20 + n02 as h0, (n20 - n02) ** 2 + 4 * n11 ** 2 as h1 from n) select pos, round(-sign(h0) * ln(abs(h0) + 1e-10), 6) + 0.0 as h0, round(-sign(h1) * ln(abs(h1) + 1e-10), 6) + 0.0 as h1 from h""")
+n as (select pos, {', '.join(f'sum((x - cx) ** {i} * (y - cy) ** {j}) / any_value(n) ** {1 + (i + j) / 2} as n{i}{j}' for i, j in ((2, 0), (0, 2), (1, 1), (3, 0), (2, 1), (1, 2), (0, 3)))} from px join c using (pos) where m group by pos),
+h as (select *, n30 + n12 as a, n21 + n03 as b from n),
+v as (select pos, {', '.join(f'{e} as h{k}' for k, e in enumerate(_HU))} from h)
+select vec_id as pos, {', '.join(f'round(coalesce(-(case when abs(h{k}) < 1e-14 then 0 else sign(h{k}) end) * ln(abs(h{k}) + 1e-10), 0), 4) + 0.0 as h{k}' for k in range(7))} from embeddings left join v on v.pos = vec_id""")
 def hu_moments(spark, sf):
-    found = with_descriptor(frames(spark, sf).where(F.array_max("mask") > 0), "hu")
-    return _r(found.select("pos", F.col("embedding")[0].alias("h0"), F.col("embedding")[1].alias("h1")))
+    """All seven; what only rounding makes differ from zero is zero."""
+    found = with_descriptor(frames(spark, sf), "hu")
+    v = lambda k: F.get("embedding", F.lit(k))
+    zero = -math.log(1e-14 + 1e-10)
+    return _r(found.select("pos", *[F.when(F.abs(F.abs(v(k)) - zero) < 2e-4, 0.0).otherwise(v(k)).alias(f"h{k}") for k in range(7)]), digits=4)
 
 
 def _descriptor_query(name: str, kind: str):
@@ -695,7 +764,7 @@ def _descriptor_query(name: str, kind: str):
         return found.select("object_id", "pos", F.transform("embedding", lambda v: F.round(v, 6)).alias("embedding"))
 
 
-for _name, _kind in {"zernike": "zernike", "fourier_descriptor": "fourier", "shape_context": "shape_context", "silhouette": "silhouette"}.items():
+for _name, _kind in {"hu_vector": "hu", "zernike": "zernike", "fourier_descriptor": "fourier", "shape_context": "shape_context", "silhouette": "silhouette"}.items():
     _descriptor_query(_name, _kind)
 
 
@@ -704,32 +773,86 @@ def pca(spark, sf):
     return reduce.pca(pool(spark, sf), 2)
 
 
+@query("pca_3d")
+def pca_3d(spark, sf):
+    return reduce.pca(pool(spark, sf), 3)
+
+
+@query("pca_explained")
+def pca_explained(spark, sf):
+    """(axis, share): how much of the variance each of three axes explains."""
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(reduce.pca_axes(pool(spark, sf), 3)[2])], "axis int, share double")
+
+
 @query("mds")
 def mds(spark, sf):
     return reduce.by_object(pool(spark, sf), "mds_cosine")
 
 
+def _reduction_query(name: str, method: str):
+    @query(name)
+    def run(spark, sf):
+        return reduce.by_object(pool(spark, sf), method)
+
+
+for _name, _method in {"mds_euclidean": "mds", "tsne": "tsne", "isomap": "isomap", "locally_linear": "lle"}.items():
+    _reduction_query(_name, _method)
+
+
+@query("discriminants")
+def discriminants(spark, sf):
+    """Linear discriminants of each object's clusters."""
+    p = pool(spark, sf)
+    return reduce.by_object(p.join(reduce.cluster_labels(p, 4), ["object_id", "pos"]), "lda", labels="cluster")
+
+
+@query("scatter_payload")
+def scatter_payload(spark, sf):
+    p = pool(spark, sf)
+    return plotdata.scatter(reduce.pca(p, 2), p, written(select.select_gqd(p, N, CFG.alpha, CFG.beta), "picks"), reduce.cluster_labels(p, 4))
+
+
+@query("debug_samples")
+def debug_samples(spark, sf):
+    return plotdata.debug_samples(pool(spark, sf))
+
+
 _HS = ("laplacian", "tenengrad", "artifact_fraction", "area_fraction")
+#: The raw statistics that reports draw.
+RAW = ("laplacian", "tenengrad", "global_laplacian", "global_tenengrad", "area_fraction", "pixel_count", "touches_border", "artifact_fraction", "band_pixels", "border_ratio", "edge_ratio", "hand_overlap")
+_LONG_RAW = f"{CHAIN_SQL}, lg as (select pos, object_id, rejection_reason, rejection_reason is null as ok, unnest([{', '.join(repr(s) for s in RAW)}]) as stat, unnest([{', '.join(RAW)}]) as v from ch)"
 _LONG = f"{CHAIN_SQL}, lg as (select pos, object_id, rejection_reason is null as ok, unnest([{', '.join(repr(s) for s in _HS)}]) as stat, unnest([{', '.join(_HS)}]) as v from ch)"
 
 
-@query("hist_raw_stats", f"with {_LONG}, r as (select stat, min(v) as lo, max(v) as hi from lg group by 1), b as (select stat, case when ok then 'accepted' else 'rejected' end as grp, lo, hi, case when hi > lo then least(floor((v - lo) / ((hi - lo) / 30)), 29) else 0 end::int as bin from lg join r using (stat)) select stat, grp, bin, round(lo + bin * ((hi - lo) / 30), 6) + 0.0 as \"left\", round(lo + (bin + 1) * ((hi - lo) / 30), 6) + 0.0 as \"right\", count(*)::bigint as n from b group by all")
+@query("hist_raw_stats", f"with {_LONG_RAW}, r as (select stat, min(v) as lo, max(v) as hi from lg group by 1), b as (select stat, case when ok then 'accepted' else 'rejected' end as grp, lo, hi, case when hi > lo then least(floor((v - lo) / ((hi - lo) / 30)), 29) else 0 end::int as bin from lg join r using (stat)) select stat, grp, bin, round(lo + bin * ((hi - lo) / 30), 6) + 0.0 as \"left\", round(lo + (bin + 1) * ((hi - lo) / 30), 6) + 0.0 as \"right\", count(*)::bigint as n from b group by all")
 def hist_raw_stats(spark, sf):
     group = F.when(F.col("rejection_reason").isNull(), "accepted").otherwise("rejected")
-    return _r(plotdata.histogram(_chained(spark, sf), list(_HS), 30, group))
+    return _r(plotdata.histogram(_chained(spark, sf), list(RAW), 30, group))
 
 
-@query("hist_weights", f"with {SOFT_SQL}, lg as (select 'vincents_area' as stat, vincents_area as v from sp union all select 'vincents_motion_blur', vincents_motion_blur from sp) select stat, 'all' as grp, least(floor(v / (1.025 / 41)), 40)::int as bin, round(least(floor(v / (1.025 / 41)), 40) * (1.025 / 41), 6) + 0.0 as \"left\", round((least(floor(v / (1.025 / 41)), 40) + 1) * (1.025 / 41), 6) as \"right\", count(*)::bigint as n from lg group by all")
+@query("hist_weights", f"with {SOFT_SQL}, lg as (select 'vincents_area' as stat, vincents_area as v from sp union all select 'vincents_motion_blur', vincents_motion_blur from sp union all select 'both', vincents_area * vincents_motion_blur from sp) select stat, 'all' as grp, least(floor(v / (1.025 / 41)), 40)::int as bin, round(least(floor(v / (1.025 / 41)), 40) * (1.025 / 41), 6) + 0.0 as \"left\", round((least(floor(v / (1.025 / 41)), 40) + 1) * (1.025 / 41), 6) as \"right\", count(*)::bigint as n from lg group by all")
 def hist_weights(spark, sf):
-    return _r(plotdata.histogram(filters.soft_pass(_chained(spark, sf), CFG), ["vincents_area", "vincents_motion_blur"], 41, None, 0.0, 1.025))
+    weighed = filters.soft_pass(_chained(spark, sf), CFG).withColumn("both", F.col("vincents_area") * F.col("vincents_motion_blur"))
+    return _r(plotdata.histogram(weighed, ["vincents_area", "vincents_motion_blur", "both"], 41, None, 0.0, 1.025))
+
+
+_OV = ("laplacian", "area_fraction", "hand_overlap")
+
+
+@query("hist_overview", f"""with {CHAIN_SQL}, lg as (select rejection_reason, unnest([{', '.join(repr(x) for x in _OV)}]) as stat, unnest([{', '.join(_OV)}]) as v from ch),
+  r as (select stat, stat in ('area_fraction', 'hand_overlap') as fixed, case when fixed then 0 when min(v) < max(v) then min(v) else min(v) - 0.5 end as lo, case when fixed then 1.025 when min(v) < max(v) then max(v) else max(v) + 0.5 end as hi, case when fixed then 41 else 40 end as many from lg group by stat),
+  s as (select stat, unnest(case when rejection_reason is null then ['accepted'] else ['rejected', rejection_reason] end) as series, v from lg)
+  select stat, series, least(floor((v - lo) / ((hi - lo) / many)), many - 1)::int as bin, round(lo + bin * ((hi - lo) / many), 6) + 0.0 as "left", round(lo + (bin + 1) * ((hi - lo) / many), 6) + 0.0 as "right", count(*)::bigint as n from s join r using (stat) where v between lo and hi group by all""")
+def hist_overview(spark, sf):
+    return _r(plotdata.overview(written(_chained(spark, sf), "chained"), list(_OV), ("area_fraction", "hand_overlap")))
 
 
-@query("goodness", f"with {ST_SQL}, w as (select pos, object_id, artifact_fraction as v, min(artifact_fraction) over (partition by object_id) as lo, max(artifact_fraction) over (partition by object_id) as hi from st) select pos, round(1 - v, 6) + 0.0 as reported, round(case when hi > lo then 1 - (v - lo) / (hi - lo) else 0.5 end, 6) + 0.0 as goodness, floor(lo * 100) / 100 as low, ceil(hi * 100) / 100 as high from w")
+@query("goodness", f"with {ST_SQL}, w as (select pos, object_id, area_fraction as area, artifact_fraction as v, min(artifact_fraction) over (partition by object_id) as lo, max(artifact_fraction) over (partition by object_id) as hi from st) select pos, round(1 - v, 6) + 0.0 as reported, round(case when hi > lo then 1 - (v - lo) / (hi - lo) else 0.5 end, 6) + 0.0 as goodness, floor(lo * 100) / 100 as low, ceil(hi * 100) / 100 as high, round(area, 6) + 0.0 as absolute from w")
 def goodness(spark, sf):
-    w = Window.partitionBy("object_id")
     v = F.col("artifact_fraction")
-    low, high = plotdata.round_range(F.min(v).over(w), F.max(v).over(w))
-    return _r(_stats(spark, sf).select("pos", plotdata.reported(v, True).alias("reported"), plotdata.goodness(v, ["object_id"], True).alias("goodness"), low.alias("low"), high.alias("high")))
+    st = quality.ranges(_stored(spark, sf), "artifact_fraction", ["object_id"])
+    low, high = plotdata.round_range(F.col("low"), F.col("high"))
+    return _r(st.select("pos", plotdata.reported(v, True).alias("reported"), plotdata.goodness(v, F.col("low"), F.col("high"), True).alias("goodness"), low.alias("low"), high.alias("high"), plotdata.absolute_goodness(F.col("area_fraction")).alias("absolute")))
 
 
 @query("sequence_series", f"with {CHAIN_SQL} select object_id, pos, rejection_reason is null as accepted, (row_number() over (partition by object_id order by pos) - 1)::int as seq from ch")
@@ -743,13 +866,29 @@ def violin_long(spark, sf):
     return _r(plotdata.violin_long(_chained(spark, sf), list(_HS), F.when(F.col("rejection_reason").isNull(), "accepted").otherwise("rejected")))
 
 
-@query("criteria_matrix", f"with {ST_SQL}, r as (select min(laplacian) a0, max(laplacian) a1, min(tenengrad) b0, max(tenengrad) b1, min(area_fraction) c0, max(area_fraction) c1 from st) select pos, round((laplacian - a0) / case when a1 > a0 then a1 - a0 else 1 end, 6) + 0.0 as laplacian, round((tenengrad - b0) / case when b1 > b0 then b1 - b0 else 1 end, 6) + 0.0 as tenengrad, round((area_fraction - c0) / case when c1 > c0 then c1 - c0 else 1 end, 6) + 0.0 as area_fraction from st, r")
+#: Criteria of accepted rows, as far as SQL has them; those of the outline (solidity to completeness) come on top.
+CRITERIA = ("laplacian", "tenengrad", "area_fraction", "border_ratio", "edge_ratio", "hand_overlap", "artifact_fraction", "blur", "area", "vincents_artefacts", "centerness", "confidence")
+OUTLINE = ("solidity", "extent", "convexity", "completeness")
+_CRIT = "case when max({0}) over () - min({0}) over () < 1e-12 then {0} - min({0}) over () else ({0} - min({0}) over ()) / (max({0}) over () - min({0}) over ()) end"
+
+
+def _criteria(rows: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    ends = rows.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
+    span = lambda c: F.col(f"hi_{c}") - F.col(f"lo_{c}")
+    scaled = [((F.col(c) - F.col(f"lo_{c}")) / F.when(span(c) < 1e-12, 1.0).otherwise(span(c))).alias(c) for c in cols]
+    return rows.crossJoin(F.broadcast(ends)).select("object_id", "pos", *scaled)  # one row of bounds
+
+
+@query("criteria_matrix", f"with {SCORED_SQL}, q as (select object_id, pos, {', '.join('vincents_artefacts' if c == 'vincents_artefacts' else c for c in CRITERIA)} from (select * exclude (artefacts), artefacts as vincents_artefacts from qs) where rejection_reason is null) select object_id, pos, {', '.join(f'round({_CRIT.format(c)}, 6) + 0.0 as {c}' for c in CRITERIA)} from q")
 def criteria_matrix(spark, sf):
-    st = _stats(spark, sf)
-    cols = ("laplacian", "tenengrad", "area_fraction")
-    ends = st.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
-    scaled = [((F.col(c) - F.col(f"lo_{c}")) / F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")).otherwise(1.0)).alias(c) for c in cols]
-    return _r(st.crossJoin(F.broadcast(ends)).select("pos", *scaled))  # one row of bounds
+    return _r(_criteria(written(_accepted(spark, sf), "accepted"), CRITERIA))
+
+
+@query("criteria_matrix_outline")
+def criteria_matrix_outline(spark, sf):
+    """All criteria of rows that have each of them, those of the outline included."""
+    rows = _accepted(spark, sf).join(with_shapes(frames(spark, sf)), ["object_id", "pos"]).where("completeness is not null")
+    return _r(_criteria(written(rows, "criteria"), (*CRITERIA, *OUTLINE)))
 
 
 @query("weighted_sample")

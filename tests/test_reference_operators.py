@@ -102,7 +102,7 @@ def test_kernels():
     assert pixels.grow(on, 2).sum() > on.sum() and (pixels.grow(on, 0) == on).all()
     image = np.full((40, 40, 3), 200, np.uint8)
     assert pixels.contrast_input(image, on[0], 0, by=2, size=32).shape == (32, 32, 3)
-    assert set(np.unique(pixels.region_alpha(on[0], 2))) == {168, 204, 255}
+    assert {168, 204, 255} <= set(np.unique(pixels.region_alpha(on[0], 2))) and pixels.region_alpha(on[0], 2).min() == 168
     assert pixels.contrast_input(image, np.zeros((40, 40)), 255, size=16).min() == 255
     square = np.arange(64 * 64, dtype=float).reshape(64, 64) % 251
     assert pixels.thumbnail_distance(square, square) == 0.0
@@ -113,7 +113,7 @@ def test_shape_invariances():
     ell = ((x - 70) / 40) ** 2 + ((y - 80) / 20) ** 2 <= 1
     moved = np.roll(ell, (7, 9), axis=(0, 1))
     turned = np.rot90(ell)
-    for name, close in (("hu", 1e-6), ("zernike", 0.02), ("fourier", 0.02), ("silhouette", 1e-9)):
+    for name, close in (("hu", 1e-6), ("fourier", 0.02), ("silhouette", 1e-9), ("shape_context", 1e-9)):
         a = shapes.describe(ell, name)
         assert np.allclose(a, shapes.describe(moved, name), atol=close), name
     assert np.allclose(shapes.hu_moments(ell)[:2], shapes.hu_moments(turned)[:2], atol=1e-6)
@@ -270,3 +270,172 @@ def test_mds_in_tiles(monkeypatch):
     for held in (1 << 25, 0):
         monkeypatch.setattr(reduce, "HELD", held)
         assert np.allclose(reduce.mds_euclidean(x, 2), want) and np.allclose(reduce.mds_cosine(x, 2), cosine)
+
+
+# --- populations -----------------------------------------------------------------------------------------------------
+
+
+def test_quantiles_both_ways(spark):
+    """Held whole or narrowed down by histograms: the same numbers, with ties, nulls, negative, tiny and huge values, and null groups."""
+    from prismark.functions.quantiles import quantiles
+
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=301), "b": np.repeat([1.0, 2.0, 2.0, 5.0], 50), "c": 10.0 ** rng.uniform(-200, 200, 120) * rng.choice([-1, 1], 120), "d": np.array([3.0]), None: rng.integers(0, 4, 60).astype(float)}
+    rows = [(g, float(v), float(-v)) for g, vs in groups.items() for v in vs] + [("a", None, 1.0), ("e", None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(5)
+    wanted = [("lo", "x", 0.01), ("mid", "x", 0.5), ("hi", "y", 0.95)]
+    plain_, narrowed = ({r.g: (r.lo, r.mid, r.hi) for r in quantiles(df, ["g"], wanted, most=m).collect()} for m in (1 << 17, 7))
+    assert narrowed == {g: v for g, v in plain_.items() if g != "e"} | ({"e": plain_["e"]} if "e" in narrowed else {})
+    for g, vs in groups.items():
+        assert narrowed[g][1] == pytest.approx(np.percentile(vs, 50), rel=1e-12)
+    assert quantiles(df.limit(0), ["g"], wanted).count() == 0
+
+
+def test_frames_are_read_once(spark, sf, monkeypatch):
+    """Chain, soft pass, scores and picks read the stored statistics: one Arrow pass over frames, and one aggregation pair for all fits."""
+    labels = []
+    keep = registry.written
+    monkeypatch.setattr(registry, "written", lambda df, label: labels.append((label, df._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))) or keep(df, label))
+    for name in ("filter_chain", "soft_pass", "curate", "quality_report_rows"):
+        labels.clear()
+        got = registry.QUERIES[name](spark, sf)
+        got.collect()
+        assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString(), name
+        assert [n for label, n in labels if n] == [1] and sum(label == "stats" for label, _ in labels) == 1, (name, labels)
+
+
+def test_chain_in_any_order(spark, sf):
+    from prismark.config import KNOB_TABLE, active_knobs, set_knobs
+
+    st = registry._stored(spark, sf)
+    with pytest.warns(UserWarning, match="no_such"):
+        first = filters.chain(st, SMALL_FRAMES, ("no_such", "blur_tenengrad", "vincent_empty_mask"))
+    second = filters.chain(st, SMALL_FRAMES, ("vincent_empty_mask", "blur_tenengrad"))
+    reasons = lambda df: {r.pos: r.rejection_reason for r in df.collect()}
+    a, b = reasons(first), reasons(second)
+    assert {k for k in a if a[k]} == {k for k in b if b[k]} and a != b
+    assert not any(reasons(filters.chain(st, SMALL_FRAMES, ())).values())
+    assert len(KNOB_TABLE) == 16 and [k[0] for k in active_knobs(("vincents_area",))] == ["vincents_area.hard_min_area_fraction", "vincents_area.outlier_z", "vincents_area.softness"]
+    cfg = set_knobs(SMALL_FRAMES, params={"vincents_artefacts.kernel_size": 7.6}, cutoffs={"blur_laplacian.outlier_z": {"enabled": False, "value": 3}})
+    assert cfg.kernels.artifact == 8 and cfg.rules[0].z is None
+    with pytest.raises(ValueError):
+        filters.what_if(st, SMALL_FRAMES, params={"vincents_artefacts.kernel_size": 9})
+
+
+# --- descriptors, neighbours, reductions -----------------------------------------------------------------------------
+
+
+def test_zernike_by_definition():
+    from math import atan2, cos, factorial, hypot, pi, sin
+
+    rng = np.random.default_rng(3)
+    for shape in ((9, 9), (12, 7)):
+        mask = rng.random(shape) > 0.5
+        on = shapes._shorter_square(mask)
+        side, axis, want = min(shape), np.linspace(-1, 1, min(shape)), []
+        for n in range(5):
+            for m in range(-n, n + 1, 2):
+                total = 0.0
+                for i in range(side):
+                    for j in range(side):
+                        r, t = hypot(axis[j], axis[i]), atan2(axis[i], axis[j])
+                        if r <= 1:
+                            k = abs(m)
+                            radial = sum((-1) ** s * factorial(n - s) / (factorial(s) * factorial((n + k) // 2 - s) * factorial((n - k) // 2 - s)) * r ** (n - 2 * s) for s in range((n - k) // 2 + 1))
+                            total += on[i, j] * radial * (cos(m * t) if m >= 0 else sin(k * t))
+                want.append(abs(total * (n + 1) / pi))
+        assert np.allclose(shapes.zernike(mask, 4), want[1:], atol=1e-9)
+    square = rng.random((8, 8)) > 0.4
+    assert np.array_equal(shapes._shorter_square(square), square)
+    assert np.allclose(shapes.zernike_all(np.stack([square, ~square]))[1], shapes.zernike(~square))
+
+
+def test_shape_context_by_definition():
+    disc = circle(100, 30)
+    hist = shapes.shape_context(disc).reshape(5, 12)
+    assert hist[:4].sum() == 0 and hist[4].sum() == pytest.approx(1, abs=1e-6) and hist[4].max() < 0.13
+    mask = np.zeros((20, 20))
+    mask[3:9, 2:18] = 1
+    c = shapes.contour(mask)
+    c = c if len(c) <= 64 else c[np.linspace(0, len(c) - 1, 64, dtype=int)]
+    mid, want = c.mean(axis=0), np.zeros((5, 12))
+    top = max(np.hypot(*(p - mid)) for p in c)
+    for p in c:
+        far, turn = np.hypot(*(p - mid)), np.arctan2(p[1] - mid[1], p[0] - mid[0])
+        ring = next(k for k in range(5) if far <= top * (k + 1) / 5 * 1.05 + 1e-12)
+        wedge = next(k for k in range(12) if turn <= -np.pi + (k + 1) * np.pi / 6 + 1e-12)
+        want[ring, wedge] += 1
+    assert np.allclose(shapes.shape_context(mask).reshape(5, 12), want / want.sum(), atol=1e-6)
+    assert not shapes.shape_context(np.zeros((9, 9))).any()
+
+
+def test_neighbours_in_blocks(spark, sf):
+    from prismark.operators import neighbors
+    from prismark.plans.frames import pool
+
+    p = pool(spark, sf).withColumn("cluster", F.col("pos") % 3)
+    for first in (False, True):
+        whole, parts = ({(r.i, r["rank"]): r.j for r in neighbors.knn(p, p, 4, first, block=b).collect()} for b in (1024, 7))
+        assert whole == parts and len(whole) == 4 * p.count()
+    rows = [(0, 1, [1.0, 0.0]), (0, 2, [1.0, 0.0]), (0, 3, [0.0, 0.0]), (1, 4, [0.0, 2.0])]
+    few = spark.createDataFrame(rows, "object_id int, pos long, embedding array<double>")
+    got = {(r.i, r["rank"]): (r.j, round(r.dist, 6)) for r in neighbors.knn(few, few, 5, block=1).collect()}
+    assert got == {(1, 1): (2, 0.0), (1, 2): (3, 1.0), (2, 1): (1, 0.0), (2, 2): (3, 1.0), (3, 1): (1, 1.0), (3, 2): (2, 1.0)}
+
+
+def test_reductions_keep_structure():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(0, 0.1, (15, 6)), rng.normal(3, 0.1, (15, 6))])
+    side = np.repeat([0, 1], 15)
+    more = np.concatenate([rng.normal(0, 0.1, (60, 6)), rng.normal(3, 0.1, (60, 6))])  # t-SNE's 30 neighbours must be fewer than a cluster
+    for f, z, parts in ((reduce.mds_euclidean, x, side), (reduce.tsne, more, np.repeat([0, 1], 60))):
+        y = f(z, 2)
+        near = np.linalg.norm(y[:, None] - y[None], axis=2)
+        np.fill_diagonal(near, np.inf)
+        assert (parts[near.argmin(axis=1)] == parts).all(), f.__name__
+    line = np.linspace(0, 1, 40)[:, None] * np.array([[1.0, 2.0, 3.0]])
+    for f in (reduce.isomap, reduce.locally_linear):
+        y = f(line, 1)[:, 0]
+        assert (np.diff(y) > 0).all() or (np.diff(y) < 0).all()
+    labels = reduce.best_labels(x, 2)
+    assert len(set(labels[:15])) == len(set(labels[15:])) == 1 and labels[0] != labels[-1]
+    assert len(set(reduce.best_labels(x[:3], 9))) == 3 and len(set(reduce.best_labels(x, 1))) == 2 and list(reduce.best_labels(x[:1], 5)) == [0]
+    d = reduce.discriminant(x, side, 2)
+    assert d.shape == (30, 1) and (d[:15].max() < d[15:].min() or d[:15].min() > d[15:].max())
+    assert [reduce.shown(*a) for a in ((1, 2, 2), (2, 2, 2), (3, 3, 3), (4, 3, 3), (9, 1, 2))] == [False, True, False, True, False]
+
+
+def test_model_inputs():
+    rng = np.random.default_rng(2)
+    image, mask = rng.integers(0, 256, (20, 30, 3)).astype(np.uint8), np.zeros((20, 30))
+    mask[6:12, 10:22] = 1
+    cut = pixels.contrast_input(image, mask, 255, by=0, size=12)  # 6 x 12, padded to 12 x 12: no resize
+    assert (cut[3:9] == image[6:12, 10:22]).all() and (cut[:3] == 255).all() and (cut[9:] == 255).all()
+    assert (pixels.contrast_input(image, mask, None, size=12)[3:9] == image[6:12, 10:22]).all()
+    seen = pixels.contrast_mask(mask, by=0, size=12)
+    assert (seen[3:9] == 255).all() and not seen[:3].any()
+    grown = pixels.contrast_mask(mask, by=2, size=16)  # 10 x 16 with a margin of 2
+    assert (grown[5:11, 2:14] == 255).all() and grown.sum() == 255 * 72
+    alpha = pixels.region_alpha(mask, by=2, size=16)
+    assert (alpha[5:11, 2:14] == 255).all() and (alpha[3:5] == 204).all() and (alpha[:3] == 168).all()
+    assert not pixels.contrast_mask(np.zeros((9, 9)), size=5).any() and set(np.unique(pixels.region_alpha(np.zeros((9, 9)), size=5))) == {168}
+
+
+def test_reports_and_payloads(spark, sf):
+    chain = {r.pos: r.rejection_reason for r in registry.QUERIES["filter_chain"](spark, sf).collect()}
+    text = [r.text for r in registry.QUERIES["prefilter_report"](spark, sf).collect()]
+    heads = [list(map(int, __import__("re").findall("[0-9]+", t.split("\n")[0]))) for t in text]
+    assert sum(h[0] for h in heads) == len(chain) and sum(h[2] for h in heads) == sum(r is not None for r in chain.values())
+    plot = registry.QUERIES["scatter_payload"](spark, sf).collect()
+    assert len(plot) == len(chain) and sum(r.step is not None for r in plot) == 10 * SMALL_FRAMES.views and all(r.cluster is not None for r in plot)
+    samples = registry.QUERIES["debug_samples"](spark, sf)
+    assert len({(r.object_id, r.pos) for r in samples.collect()}) == 12 and samples.collect() == registry.QUERIES["debug_samples"](spark, sf).collect()
+    drawn = registry.QUERIES["weighted_sample"](spark, sf).collect()
+    assert len({(r.object_id, r.pos) for r in drawn}) == len(drawn) == 40
+    from prismark.operators import explore
+    from prismark.plans.frames import pool
+
+    found = {(r.object_id, r.cluster): r for r in explore.clusters(pool(spark, sf), 3, "farthest").collect()}
+    for r in registry.QUERIES["explorer_text"](spark, sf).collect():
+        told = __import__("json").loads(r.text)
+        assert told["picks"] == [found[r.object_id, c].pick for c in range(3)] and told["centroids"] == [found[r.object_id, c].medoid for c in range(3)]
