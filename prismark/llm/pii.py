@@ -242,7 +242,7 @@ def disclosures(held: DataFrame, n_docs: int, docs_terms: Callable[[DataFrame],
 
 
 def count_terms(docs: DataFrame, asked: DataFrame, few: int = FEW) -> DataFrame:
-    """(term, df_t): how many of docs(text, n), n times each, hold each of the terms asked for. Null texts hold none.
+    """(term, df_t): how many of docs(text, n), n times each, hold each of the different terms asked for. Null texts hold none.
 
     Up to `few` terms go to all tasks, so that no other word is shuffled; more are met after words have been counted
     (combined before the shuffle). The counts are the same either way."""
@@ -250,7 +250,8 @@ def count_terms(docs: DataFrame, asked: DataFrame, few: int = FEW) -> DataFrame:
     each = docs.select("n", F.explode(terms_in(F.col("text"))).alias("term"))
     if asked.count() <= few:
         return each.join(F.broadcast(asked), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df_t"))
-    return each.groupBy("term").agg(F.sum("n").alias("df_t")).join(asked, "term", "left_semi")
+    # an inner join: a semi join would be pushed below the aggregation, where every word is a row
+    return each.groupBy("term").agg(F.sum("n").alias("df_t")).join(asked, "term")
 
 
 def find(df: DataFrame, text: str = "text", rule: Disclosure = Disclosure(), few: int = FEW) -> DataFrame:
