@@ -694,8 +694,8 @@ def test_packing_like_plain_dot_products(limits):
     assert got == plain_pack(docs, limits) and not items
 
 
-def test_packing_limits_bind(spark, docs):
-    """The query's rule: the first quarter of a text bears no loss. (Sequences that the loss limit ends go out in powers of two.)"""
+def test_packing_keeps_limits(spark, docs):
+    """The query's rule: the first quarter of a text bears no loss. (A sequence that a limit ends is cut to a multiple of 64 and goes out in powers of two; that the segment limit binds is held above.)"""
     rows = [r for r in dict(docs).items() if r[0] is not None] + [(10_000 + i, "a b") for i in range(600)] + [(20_000 + i, "x y z w " * 300) for i in range(40)] + [(30_000 + i, "q w e r " * 20_000) for i in range(3)]
     tok = packing.WordTokenizer(VOCAB8)
     free = {i: int(packing.QUERY_PROMPT * (len(tok.encode((t or "").encode())) // 4)) for i, t in rows}
@@ -707,7 +707,10 @@ def test_packing_limits_bind(spark, docs):
         loss[r.sequence_id] += max(0, r.start + r.length - max(r.start, free[r.doc_id]))
         parts[r.sequence_id] += 1
         size[r.sequence_id] += r.length
-    assert max(loss.values()) <= limits.loss and max(parts.values()) == limits.segments and max(size.values()) == limits.tokens
+    assert max(loss.values()) <= limits.loss and max(parts.values()) <= limits.segments and max(size.values()) == limits.tokens
+    items = [packing.Item(i, len(tok.encode((t or '').encode())) // 4 + 1, free[i]) for i, t in rows]
+    made = [(sum(n for *_, n in row), sum(max(0, a + n - max(a, x.free)) for x, a, n in row)) for row in packing.pack_items(items, limits, True)]
+    assert any(n < limits.tokens and b == limits.loss for n, b in made)  # the loss limit ends a sequence
 
 
 def test_words_of_any_length(spark):
