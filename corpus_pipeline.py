@@ -52,10 +52,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.classes(prints.select("fingerprint", F.col("fingerprint").alias("node")), id_col="node")
     stays = prints.join(found, "fingerprint").groupBy("component_id").agg(F.min(F.struct("doc_id", "fingerprint")).alias("first"))
     stays = cut(stays.select("first.doc_id", "first.fingerprint"), "components")
-    once = simhash.with_fingerprint(named.join(stays.select("doc_id").distinct(), "doc_id", "left_semi"), "text", keep=list(DOCUMENT))
+    # an id of one row stays or goes by itself; only rows that share an id must be told apart by their fingerprints again
+    shared = cut(prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared")
+    alone = named.join(stays.join(shared, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
+    told = simhash.with_fingerprint(named.join(stays.join(shared, "doc_id", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi"), "text", keep=list(DOCUMENT))
     order = F.struct(F.crc32(F.col("text").cast("binary")).alias("crc"), F.length("text").alias("length"), "n_chars", "lang", "source")
-    once = once.join(stays, ["doc_id", "fingerprint"], "left_semi").groupBy("doc_id", "fingerprint").agg(F.min_by(F.struct(*DOCUMENT), order).alias("d")).select("d.*")
-    return once.select(*DOCUMENT).unionByName(docs.where("doc_id is null"))
+    once = told.join(stays, ["doc_id", "fingerprint"], "left_semi").groupBy("doc_id", "fingerprint").agg(F.min_by(F.struct(*DOCUMENT), order).alias("d")).select("d.*")
+    return alone.select(*DOCUMENT).unionByName(once.select(*DOCUMENT)).unionByName(docs.where("doc_id is null"))
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
