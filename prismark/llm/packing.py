@@ -22,13 +22,16 @@ from prismark.llm.common import LONGEST, as_bytes, field, pieces, table
 class WordTokenizer:
     """Ids of a tokenizers file whose text is lower-cased and parted at white space, by a table of pieces.
 
-    Text between ASCII white spaces stands alone, so it is looked up whole. What is new and plain (printable,
-    below U+0250, where NFC changes nothing) is cut by the file's own pattern and its words go to the file's
-    model; all else goes through the library's whole encode(). Up to `most` words of up to LONGEST bytes are kept.
+    Text between ASCII white spaces stands alone, so it is looked up whole. What a text holds that is new and plain
+    (printable, below U+0250, where NFC changes nothing) is cut by the file's own pattern in one go and its words go to
+    the file's model; all else goes through the library's whole encode(). A table keeps words of up to LONGEST bytes; once
+    it has `most` it becomes the older one, from which words that are met again come back, and the oldest goes.
     """
 
-    PLAIN = re.compile(r"[!-~¡-įı-ɏ]+")
-    WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    PLAIN = re.compile(r"[ -~¡-įı-ɏ]+")
+    WORD = regex.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: Between the ids of two pieces. Ids are under 2^24, so their fourth byte is 0 and no ids hold these bytes.
+    PART = b"\xff\xff\xff\xff"
 
     def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
@@ -36,28 +39,43 @@ class WordTokenizer:
         from prismark.llm.bpe import _alphabet
 
         self.lib = Tokenizer.from_file(path)
+        if self.lib.get_vocab_size() >= 1 << 24:
+            raise ValueError(f"{path} has 2^24 ids or more")
         self.model = self.lib.model
         self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         self.letters = str.maketrans({chr(b): c for b, c in _alphabet().items() if chr(b) != c})
-        self.most, self.known, self.words = most, {}, {}
-
-    def _new(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if not self.PLAIN.fullmatch(text):
-            return self._by_lib(text)
-        out = []
-        for w in self.WORD.findall(text.lower()):
-            ids = self.words.get(w)
-            if ids is None:
-                if len(self.words) >= self.most:
-                    self.words.clear()
-                key = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
-                got = [t.id for t in self.model.tokenize(key)]
-                ids = _pack(f"<{len(got)}I", *got)
-                if len(w) <= LONGEST:
-                    self.words[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        self.most = most
+        self.known, self.known_before = {}, {}
+        self.words, self.words_before = {}, {}
+
+    def _word(self, w: str) -> bytes:
+        key = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+        got = [t.id for t in self.model.tokenize(key)]
+        return _pack(f"<{len(got)}I", *got)
+
+    def _plain(self, text: str) -> list[bytes]:
+        """Ids of each of the pieces that single spaces part in a plain text."""
+        words = self.WORD.findall(text.lower())
+        table, before = self.words, self.words_before
+        table[" "] = self.PART
+        long = []
+        for w in dict.fromkeys(words):
+            if w not in table:
+                table[w] = before.get(w) or self._word(w)
+                if len(w) > LONGEST:
+                    long.append(w)
+        out = b"".join(map(table.get, words)).split(self.PART)
+        for w in long:
+            del table[w]
+        if len(table) > self.most:
+            self.words, self.words_before = {}, table if len(table) <= 2 * self.most else {}
+        return out
+
+    def _new(self, chunks: list[bytes]) -> list[bytes]:
+        texts = [c.decode() for c in chunks]
+        if self.PLAIN.fullmatch(joined := " ".join(texts)):
+            return self._plain(joined)
+        return [self._plain(t)[0] if self.PLAIN.fullmatch(t) else self._by_lib(t) for t in texts]
 
     def _by_lib(self, text: str) -> bytes:
         got = self.lib.encode(text, add_special_tokens=False).ids
@@ -69,17 +87,17 @@ class WordTokenizer:
             return self._by_lib(text.decode())
         chunks = text.split()
         ids = list(map(self.known.get, chunks))
-        if None in ids:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            for i, x in enumerate(ids):
-                if x is None:
-                    x = self.known.get(chunks[i])
-                    if x is None:
-                        x = self._new(chunks[i])
-                        if len(chunks[i]) <= LONGEST:
-                            self.known[chunks[i]] = x
-                    ids[i] = x
+        if None not in ids:
+            return b"".join(ids)
+        missing = dict.fromkeys(c for c, x in zip(chunks, ids, strict=True) if x is None)
+        found = {c: x for c in missing if (x := self.known_before.get(c)) is not None}
+        new = [c for c in missing if c not in found]
+        if new:
+            found.update(zip(new, self._new(new), strict=True))
+        ids = [found[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
+        self.known.update(found if max(map(len, found)) <= LONGEST else {c: x for c, x in found.items() if len(c) <= LONGEST})
+        if len(self.known) > self.most:
+            self.known, self.known_before = {}, self.known if len(self.known) <= 2 * self.most else {}
         return b"".join(ids)
 
 

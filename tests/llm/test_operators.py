@@ -607,6 +607,17 @@ def test_word_tokenizer(docs):
         assert tok.encode(t.encode()) == struct.pack(f"<{len(e.ids)}I", *e.ids)
 
 
+def test_word_tokenizer_tables(docs):
+    """Tables that turn over in the middle of texts, and words that are too long to keep."""
+    tok = packing.WordTokenizer(VOCAB8, most=40)
+    texts = [t for _, t in docs if t] + ["word " + "x" * 500 + " " + "ä" * 70 + " word, " + "é漢 z" * 30] * 2
+    for t in texts + texts[::-1]:
+        ids = tok.lib.encode(t, add_special_tokens=False).ids
+        assert tok.encode(t.encode()) == struct.pack(f"<{len(ids)}I", *ids)
+        assert len(tok.known) <= 40 and len(tok.words) <= 40 and len(tok.known_before) <= 80 and len(tok.words_before) <= 80
+        assert all(len(w) <= 64 for w in [*tok.known, *tok.words])
+
+
 def check_pieces(rows, texts, limits, exact):
     tok = packing.WordTokenizer(VOCAB8)
     ids = {i: tok.encode((t or "").encode()) + struct.pack("<I", 2) for i, t in texts}
