@@ -39,9 +39,11 @@ class WordTokenizer:
         from prismark.llm.bpe import _alphabet
 
         self.lib = Tokenizer.from_file(path)
-        if self.lib.get_vocab_size() >= 1 << 24:
+        top = max(self.lib.get_vocab().values())
+        if top >= 1 << 24:
             raise ValueError(f"{path} has 2^24 ids or more")
         self.model = self.lib.model
+        self.packed = [_pack("<I", i) for i in range(top + 1)]
         self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         self.letters = str.maketrans({chr(b): c for b, c in _alphabet().items() if chr(b) != c})
         self.most = most
@@ -50,22 +52,17 @@ class WordTokenizer:
 
     def _word(self, w: str) -> bytes:
         key = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
-        got = [t.id for t in self.model.tokenize(key)]
-        return _pack(f"<{len(got)}I", *got)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(key)])
 
     def _plain(self, text: str) -> list[bytes]:
         """Ids of each of the pieces that single spaces part in a plain text."""
         words = self.WORD.findall(text.lower())
         table, before = self.words, self.words_before
         table[" "] = self.PART
-        long = []
-        for w in dict.fromkeys(words):
-            if w not in table:
-                table[w] = before.get(w) or self._word(w)
-                if len(w) > LONGEST:
-                    long.append(w)
+        new = set(words).difference(table)
+        table.update([(w, before.get(w) or self._word(w)) for w in new])
         out = b"".join(map(table.get, words)).split(self.PART)
-        for w in long:
+        for w in [w for w in new if len(w) > LONGEST]:
             del table[w]
         if len(table) > self.most:
             self.words, self.words_before = {}, table if len(table) <= 2 * self.most else {}
@@ -85,20 +82,18 @@ class WordTokenizer:
         """Ids of a whole text (UTF-8) as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
             return self._by_lib(text.decode())
-        chunks = text.split()
-        ids = list(map(self.known.get, chunks))
-        if None not in ids:
-            return b"".join(ids)
-        missing = dict.fromkeys(c for c, x in zip(chunks, ids, strict=True) if x is None)
-        found = {c: x for c in missing if (x := self.known_before.get(c)) is not None}
-        new = [c for c in missing if c not in found]
+        chunks, table, before = text.split(), self.known, self.known_before
+        missing = set(chunks).difference(table)
+        table.update([(c, x) for c in missing if (x := before.get(c)) is not None])
+        new = [c for c in missing if c not in before]
         if new:
-            found.update(zip(new, self._new(new), strict=True))
-        ids = [found[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
-        self.known.update(found if max(map(len, found)) <= LONGEST else {c: x for c, x in found.items() if len(c) <= LONGEST})
-        if len(self.known) > self.most:
-            self.known, self.known_before = {}, self.known if len(self.known) <= 2 * self.most else {}
-        return b"".join(ids)
+            table.update(zip(new, self._new(new), strict=True))
+        out = b"".join(map(table.get, chunks))
+        for c in [c for c in new if len(c) > LONGEST]:
+            del table[c]
+        if len(table) > self.most:
+            self.known, self.known_before = {}, table if len(table) <= 2 * self.most else {}
+        return out
 
 
 @cache
