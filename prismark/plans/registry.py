@@ -750,11 +750,11 @@ h as (select *, n30 + n12 as a, n21 + n03 as b from n),
 v as (select pos, {', '.join(f'{e} as h{k}' for k, e in enumerate(_HU))} from h)
 select vec_id as pos, {', '.join(f'round(coalesce(-(case when abs(h{k}) < 1e-14 then 0 else sign(h{k}) end) * ln(abs(h{k}) + 1e-10), 0), 4) + 0.0 as h{k}' for k in range(7))} from embeddings left join v on v.pos = vec_id""")
 def hu_moments(spark, sf):
-    """All seven; what only rounding makes differ from zero is zero."""
+    """All seven; what only rounding makes differ from zero, a moment under 1e-14, is zero. Smaller moments have longer logarithms."""
     found = with_descriptor(frames(spark, sf), "hu")
     v = lambda k: F.get("embedding", F.lit(k))
     zero = -math.log(1e-14 + 1e-10)
-    return _r(found.select("pos", *[F.when(F.abs(F.abs(v(k)) - zero) < 2e-4, 0.0).otherwise(v(k)).alias(f"h{k}") for k in range(7)]), digits=4)
+    return _r(found.select("pos", *[F.when(F.abs(v(k)) > zero, 0.0).otherwise(v(k)).alias(f"h{k}") for k in range(7)]), digits=4)
 
 
 def _descriptor_query(name: str, kind: str):

@@ -248,6 +248,20 @@ def test_against_sql(spark, sf, name):
     assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), want.columns)
 
 
+def test_hu_moments_next_to_zero(spark, tmp_path):
+    """Masks with a moment between 1e-14 and 3e-14, which is not zero, and one whose moments are."""
+    duckdb = pytest.importorskip("duckdb")
+    masks = [0x5C70567A2E4C00, 0x6E3A7C567E5000, 0x20362C4A780A5E00, 0x3C3C3C3C0000]
+    rows = [(k, [0.5 if mask >> i & 1 else -0.5 for i in range(64)], 0) for k, mask in enumerate(masks, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    rel, got = con.sql(registry.ORACLE_SQL["hu_moments"]), registry.QUERIES["hu_moments"](spark, str(tmp_path))
+    want = rel.fetchall()
+    assert sum(23.0255 < abs(v) < 23.0258 for r in want for v in r[1:]) == 3
+    assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want, rel.columns)
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES.keys() - registry.ORACLE_SQL.keys()))
 def test_runs(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
